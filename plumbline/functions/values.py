@@ -88,7 +88,7 @@ def day_first_date(value: Column) -> Column:
 
     def made(y, m, d):
         ymd = F.format_string("%04d-%02d-%02d", y, m, d)
-        return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_date(ymd, F.lit("yyyy-MM-dd")))
+        return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_date(ymd, "yyyy-MM-dd"))
 
     return F.coalesce(
         made(part(iso, 1), part(iso, 2), part(iso, 3)),
