@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .units import parse_unit
 
@@ -98,7 +99,7 @@ def day_first_date(value: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _unit_factor(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pounds per unit named in a text of a money field; null where none is named."""
 
