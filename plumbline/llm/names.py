@@ -166,7 +166,8 @@ def spellings(panel: DataFrame) -> DataFrame:
 
 
 def link_projects(panel: DataFrame) -> DataFrame:
-    """(name, entity): every usable spelling of project_name with the class of spellings it belongs to.
+    """(name, entity, pid): every usable spelling of project_name with the class of spellings it belongs to,
+    and the identifier that it was seen with.
 
     Two classes with different identifiers, or with spellings of different phases, are never merged.
     Fillers and nulls are no spellings; a cut-off name is one.  Spellings without any context are
@@ -182,7 +183,7 @@ def link_projects(panel: DataFrame) -> DataFrame:
         merged = cut_lineage(
             merged.join(moved.withColumnRenamed("node", "entity"), "entity", "left").select("sid", F.coalesce("component", "entity").alias("entity"))
         )
-    return known.join(merged, "sid").select("name", "entity")
+    return known.join(merged, "sid").select("name", "entity", "pid")
 
 
 def _with_frequencies(names: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that register queries.
-NAMES = ("names", "tokens")
+NAMES = ("names", "survivors", "tokens")
 
 
 def modules() -> list:

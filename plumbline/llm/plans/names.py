@@ -15,7 +15,7 @@ def p4_classes(spark, sf_dir):
     """Every spelling with its class, named by the class's longest spelling (the least at a tie)."""
     panel = table(spark, sf_dir, "panel_duplicates")
     linked = (
-        link_projects(panel).withColumn("field_name", F.lit("project_name"))
+        link_projects(panel).drop("pid").withColumn("field_name", F.lit("project_name"))
         .unionByName(link_departments(panel).withColumn("field_name", F.lit("department")))
     )
     longest = linked.groupBy("field_name", "entity").agg(
