@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that register queries.
-NAMES = ("names", "survivors", "tokens", "mixing")
+NAMES = ("names", "survivors", "tokens", "mixing", "abuse")
 
 
 def modules() -> list:
