@@ -174,10 +174,10 @@ def sentence_features(words: list[str], odd: int, weights: dict[str, float]) ->
     insults, threats, dehuman, groups, sexual, second, persons = counts
     odd_insult = min(odd, 1) * insults
     total = heavy = 0.0
-    for w in words:
+    for w in set(words):
         v = weights.get(w, 0.0)
         total += v
-        heavy += v > 1.5
+        heavy += v > 2.0
     n = len(words)
     return [
         insults, threats, dehuman, groups, sexual, second, persons, min(insults, 3) * min(second, 2), min(threats, 3) * min(second, 2),
@@ -194,7 +194,7 @@ def fixed_margin(f: list[float]) -> float:
         + 1.3 * min(f[7], 2)
         + 1.0 * min(f[8], 3)
         + 1.5 * min(f[9], 3)
-        + 0.7 * min(f[10], 4)
+        + 1.1 * min(f[10], 4)
         + 1.0 * min(f[11], 2)
         + 1.5 * min(f[13], 1)
     )
@@ -211,34 +211,44 @@ def document_features(sentences, text: str, weights: dict[str, float]) -> list[f
 
 
 def word_weights(documents: list[list[tuple[list[str], int]]], labels: np.ndarray, most: int = WORDS) -> dict[str, float]:
-    """Log odds of words between labelled documents, with two rounds in which an abusive document counts by its
-    heaviest sentence only.  Words of fewer than three documents have none."""
+    """Log odds of words between sentences of abusive and of other documents.
+
+    First every sentence of an abusive document counts; then, twice, only its heaviest one, and none where
+    nothing in the document speaks for abuse, since raters err.  Words of fewer than three sentences have
+    no weight.
+    """
+    negative: Counter = Counter()
+    n_neg = 1.0
+    for sentences, y in zip(documents, labels, strict=True):
+        if y <= 0.5:
+            for words, _ in sentences:
+                negative.update(set(words))
+            n_neg += len(sentences)
     weights: dict[str, float] = {}
     for round_ in range(3):
-        positive, negative, n_pos, n_neg = Counter(), Counter(), 1.0, 1.0
+        positive: Counter = Counter()
+        n_pos = 1.0
         for sentences, y in zip(documents, labels, strict=True):
-            if y > 0.5:
-                if round_ and sentences:
-                    chosen = max(sentences, key=lambda s: sum(weights.get(w, 0.0) for w in s[0]) / (len(s[0]) + 2))
-                    positive.update(set(chosen[0]))
-                else:
-                    positive.update({w for s, _ in sentences for w in s})
-                n_pos += 1
-            else:
-                negative.update({w for s, _ in sentences for w in s})
-                n_neg += 1
-        weights = {
-            w: float(np.log((c + 0.5) / (n_pos + 1)) - np.log((negative[w] + 0.5) / (n_neg + 1)))
-            for w, c in positive.items()
-            if c + negative[w] >= 3
-        }
-        for w, c in negative.items():
-            if w not in positive and c >= 3:
-                weights[w] = float(np.log(0.5 / (n_pos + 1)) - np.log((c + 0.5) / (n_neg + 1)))
+            if y <= 0.5 or not sentences:
+                continue
+            if round_:
+                ratios = [sum(weights.get(w, 0.0) for w in set(words)) for words, _ in sentences]
+                top = max(ratios)
+                if top < 2.0:
+                    continue
+                sentences = [sentences[ratios.index(top)]]
+            for words, _ in sentences:
+                positive.update(set(words))
+            n_pos += len(sentences)
+        weights = {}
+        for w in positive.keys() | negative.keys():
+            a, b = positive[w], negative[w]
+            if a + b >= 3:
+                v = float(np.log((a + 0.3) / (n_pos + 1)) - np.log((b + 0.3) / (n_neg + 1)))
+                weights[w] = max(-2.0, min(5.0, v))
         if len(weights) > most:
             keep = sorted(weights, key=lambda w: (-abs(weights[w]), w))[:most]
             weights = {w: weights[w] for w in keep}
-        weights = {w: max(-3.0, min(4.0, v)) for w, v in weights.items()}
     return weights
 
 
