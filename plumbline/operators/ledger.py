@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..session import cut_lineage
 
 #: Last day that the ledger is taken to cover.
 DATA_END = "2023-09-30"
@@ -191,6 +192,8 @@ def add_history(labels: DataFrame, months: int = 36) -> DataFrame:
     growth = F.greatest(F.lit(-1.0), F.least(F.col(f"ceiling_growth_{months}"), F.lit(10.0)))
     growth = F.when(F.col(f"ceiling_growth_{months}").isNotNull(), growth)
     values = {"growth": growth, "terminated": F.col(f"terminated_{months}"), "slip": F.col(f"schedule_slip_gt90_{months}")}
+    # read three times below, so the labels are computed once and kept
+    labels = cut_lineage(labels)
     out = labels.withColumn("__recipient", F.when(~E.is_aggregate_recipient(F.col("recipient_name")), F.col("recipient_uei")))
     for name, key in (("recipient", "__recipient"), ("office", "awarding_office_code")):
         history = daily_history(out, key, "action_date", F.add_months("action_date", months), values)
