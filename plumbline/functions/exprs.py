@@ -65,7 +65,7 @@ def split_of(fy: Column) -> Column:
 
 def bin_index(p: Column, bins: int) -> Column:
     """Fixed-width bin of a share, robust to the last bits; 1 belongs to the last bin."""
-    return F.greatest(F.lit(0), F.least(F.floor(F.round(p * bins, 9)), F.lit(bins - 1))).cast("int")
+    return F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.floor(F.round(p * bins, 9)), F.lit(bins - 1))).cast("int"))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

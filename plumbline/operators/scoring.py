@@ -130,6 +130,11 @@ def murphy(binned: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null, not an error, when a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Rows with average rank of ``value`` within ``by``, from counts per distinct value."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
@@ -143,8 +148,7 @@ def spearman_by(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     data = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     ranked = average_ranks(average_ranks(data, by, "__x", "rx"), by, "__y", "ry")
     n = F.count("*")
-    spread = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return ranked.groupBy(*by).agg(n.alias("n"), F.when((n >= 3) & spread, F.corr("rx", "ry")).alias("spearman"))
+    return ranked.groupBy(*by).agg(n.alias("n"), F.when(n >= 3, correlation("rx", "ry")).alias("spearman"))
 
 
 def weighted_pearson(x: Column, y: Column, w: Column) -> Column:

@@ -7,7 +7,7 @@ from ..functions import exprs as E
 from ..operators import panel as P
 from ..operators import resample as B
 from ..operators import variance as V
-from ..operators.scoring import auc_by, spearman_by
+from ..operators.scoring import auc_by, correlation, spearman_by
 from ..session import table
 
 TYPES = ["click", "purchase", "view", "signup", "scroll"]
@@ -109,7 +109,7 @@ def cross_period_cov(spark, sf_dir):
     wide = _residuals(spark, sf_dir).groupBy("l_suppkey").agg(
         F.avg(F.when(F.col("split") == "train", F.col("r"))).alias("a"), F.avg(F.when(F.col("split") == "test", F.col("r"))).alias("b"), F.count("*").alias("n")
     )
-    out = wide.where("a is not null and b is not null").agg(F.count("*").alias("n"), F.covar_pop("a", "b").alias("cov"), F.corr("a", "b").alias("corr"))
+    out = wide.where("a is not null and b is not null").agg(F.count("*").alias("n"), F.covar_pop("a", "b").alias("cov"), correlation("a", "b").alias("corr"))
     return _rounded(out, "cov", "corr", digits=8)
 
 
@@ -166,8 +166,8 @@ def permutation_null(spark, sf_dir):
     """Correlation of balance and order total against 40 shuffles within nations: (b + 1) / (B + 1)."""
     totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("t"))
     rows = _customers(spark, sf_dir).join(totals, "id")
-    real = rows.agg(F.corr("x", "t").alias("real"))
-    drawn = B.permute_within(rows.select("block", "id", "x"), ["block"], "id", "x", 40).join(totals, "id").groupBy("draw").agg(F.corr("shuffled", "t").alias("c"))
+    real = rows.agg(correlation("x", "t").alias("real"))
+    drawn = B.permute_within(rows.select("block", "id", "x"), ["block"], "id", "x", 40).join(totals, "id").groupBy("draw").agg(correlation("shuffled", "t").alias("c"))
     value = real.first()[0]
     out = drawn.agg(F.count("*").alias("draws"), F.avg("c").alias("null_mean"), F.count_if(F.abs(F.round("c", 9)) >= F.lit(abs(round(value or 0.0, 9)))).alias("b"))
     return out.select(F.lit(round(value or 0.0, 6)).alias("real"), "draws", F.round("null_mean", 6).alias("null_mean"), F.round((F.col("b") + 1) / (F.col("draws") + 1), 6).alias("p_value"))
