@@ -406,8 +406,9 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text") -> D
     """``documents`` without ``text``, with ``score``: the probability of abusive, hateful or sexual content.
 
     Null and blank texts score 0.  Texts of any length are read whole; copies of a text score alike.
+    A column ``score`` that is there already is replaced.
     """
-    kept = [c for c in documents.columns if c != text]
+    kept = [c for c in documents.columns if c not in (text, "score")]
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # at most WORDS weights and TREES trees
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import CUT_MARKS, is_filler
@@ -173,17 +173,15 @@ def link_projects(panel: DataFrame) -> DataFrame:
     Fillers and nulls are no spellings; a cut-off name is one.  Spellings without any context are
     matched by two words or by initials, never by place alone.
     """
-    known = cut_lineage(_with_frequencies(spellings(panel)))
-    merged = _certain(known)
+    known = _certain(cut_lineage(_with_frequencies(spellings(panel))))
     for _ in range(ROUNDS):
-        edges = _match(known, merged)
-        if edges.isEmpty():
+        moves = _match(known)
+        if moves is None:
             break
-        moved = connected_components(edges)
-        merged = cut_lineage(
-            merged.join(moved.withColumnRenamed("node", "entity"), "entity", "left").select("sid", F.coalesce("component", "entity").alias("entity"))
+        known = cut_lineage(
+            known.join(moves, "entity", "left").withColumn("entity", F.coalesce("to", "entity")).drop("to")
         )
-    return known.join(merged, "sid").select("name", "entity", "pid")
+    return known.select("name", "entity", "pid")
 
 
 def _with_frequencies(names: DataFrame) -> DataFrame:
@@ -207,7 +205,7 @@ def _with_frequencies(names: DataFrame) -> DataFrame:
 
 
 def _certain(known: DataFrame) -> DataFrame:
-    """(sid, entity) after merging by identifier and by equal words in equal context."""
+    """``known`` with entity, after merging by identifier and by equal words in equal context."""
     words = F.concat_ws(" ", F.array_sort("words"))
     telling = F.concat_ws("|", F.lit("key"), F.coalesce("body", F.lit("")), F.col("start").cast("string"), F.coalesce(F.col("phase").cast("string"), F.lit("")), words)
     keys = F.array_compact(
@@ -218,44 +216,71 @@ def _certain(known: DataFrame) -> DataFrame:
         )
     )
     joined = connected_components(known.select("sid", F.explode(keys).alias("key")), "sid", "key")
-    return cut_lineage(known.select("sid").join(joined, F.col("sid") == F.col("node")).select("sid", F.col("component").alias("entity")))
+    return cut_lineage(known.join(joined, F.col("sid") == F.col("node")).drop("node").withColumnRenamed("component", "entity"))
 
 
-def _match(known: DataFrame, merged: DataFrame) -> DataFrame:
-    """Edges (a, b) between entities that agree, where each entity goes with its best partner only."""
-    rows = known.join(merged, "sid")
-    profile = rows.groupBy("entity").agg(
-        F.max("pid").alias("pid"),
-        F.max("start").alias("start"),
-        F.max("body").alias("body"),
-        F.collect_set(F.struct("words", "phase", "has_kind", "alien")).alias("spellings"),
-    )
-    profile = cut_lineage(profile)
-    context = profile.select("entity", "start", "body")
-    word = rows.select("entity", "words", F.explode("rare").alias("word")).join(context, "entity")
-    dated = word.where("start is not null").select(
+def _block_keys(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, key) of close blocks: context and the head or tail of a rare word; and (entity, undated, key) of loose
+    blocks: body and the heads of two words."""
+    words = F.array_distinct(F.flatten(F.transform("spellings", lambda s: s["rare"])))
+    close = profile.where("start is not null").select(
         "entity",
         F.explode(
-            F.array(
-                F.xxhash64(F.lit("head"), F.col("start"), F.col("body"), F.substring("word", 1, 4)),
-                F.xxhash64(F.lit("tail"), F.col("start"), F.col("body"), F.substring(F.col("word"), -4, 4)),
+            F.array_distinct(
+                F.flatten(
+                    F.transform(
+                        words,
+                        lambda w: F.array(
+                            F.xxhash64(F.lit("head"), F.col("start"), F.col("body"), F.substring(w, 1, 4)),
+                            F.xxhash64(F.lit("tail"), F.col("start"), F.col("body"), F.substring(w, F.lit(-4), F.lit(4))),
+                        ),
+                    )
+                )
             )
         ).alias("key"),
     )
-    pairs_of = F.flatten(
-        F.transform(
-            "words",
-            lambda x: F.transform(F.filter("words", lambda y: y > x), lambda y: F.xxhash64(F.lit("two"), F.col("body"), F.substring(x, 1, 4), F.substring(y, 1, 4))),
+
+    def pairs(s):
+        return F.flatten(
+            F.transform(
+                s["words"],
+                lambda x: F.transform(F.filter(s["words"], lambda y: y > x), lambda y: F.xxhash64(F.lit("two"), F.col("body"), F.substring(x, 1, 4), F.substring(y, 1, 4))),
+            )
+        )
+
+    loose = profile.select("entity", F.col("start").isNull().alias("undated"), F.explode(F.array_distinct(F.flatten(F.transform("spellings", pairs)))).alias("key"))
+    return close, loose
+
+
+def _score_frame(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        scores = []
+        for left, right, both in zip(frame["a_spellings"], frame["b_spellings"], frame["dated"], strict=True):
+            mine, theirs = {s["phase"] for s in left if s["phase"] is not None}, {s["phase"] for s in right if s["phase"] is not None}
+            if mine and theirs and not mine & theirs:
+                scores.append(0)
+                continue
+            best = max((compare(x, y) for x in left for y in right), default=0)
+            scores.append(best if both or best > 1 else 0)
+        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "a_pid": frame["a_pid"], "b_pid": frame["b_pid"], "score": scores})
+
+
+def _match(known: DataFrame) -> DataFrame | None:
+    """(entity, to): where entities that agree move, each with its best partners only; None when nothing moves.
+
+    A chain of partners takes several rounds, since an entity moves one step at a time to the lesser one.
+    """
+    profile = cut_lineage(
+        known.groupBy("entity").agg(
+            F.max("pid").alias("pid"), F.max("start").alias("start"), F.max("body").alias("body"), F.collect_set(F.struct("words", "phase", "has_kind", "alien", "rare")).alias("spellings")
         )
     )
-    two = rows.select("entity", "words").distinct().join(context, "entity").select("entity", F.col("start").isNull().alias("undated"), F.explode(pairs_of).alias("key")).distinct()
-    one = dated.distinct()
-    right = one.select(F.col("entity").alias("b"), "key")
-    close = one.select(F.col("entity").alias("a"), "key").join(right, "key").where("a < b").select("a", "b")
-    loose = (
-        two.where("undated").select(F.col("entity").alias("a"), "key").join(two.select(F.col("entity").alias("b"), "key"), "key").where("a <> b")
+    close, loose = _block_keys(profile)
+    near_by = close.select(F.col("entity").alias("a"), "key").join(close.select(F.col("entity").alias("b"), "key"), "key").where("a < b").select("a", "b")
+    far = (
+        loose.where("undated").select(F.col("entity").alias("a"), "key").join(loose.select(F.col("entity").alias("b"), "key"), "key").where("a <> b")
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = close.unionByName(loose).distinct()
+    candidates = near_by.unionByName(far).distinct()
     left_side = profile.select(*[F.col(c).alias(f"a_{c}") for c in profile.columns])
     right_side = profile.select(*[F.col(c).alias(f"b_{c}") for c in profile.columns])
     possible = (
@@ -263,32 +288,26 @@ def _match(known: DataFrame, merged: DataFrame) -> DataFrame:
         .join(right_side, F.col("b") == F.col("b_entity"))
         .where("(a_pid is null or b_pid is null or a_pid = b_pid) and (a_start is null or b_start is null or a_start = b_start)")
     )
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scores = []
-            for left, right, both in zip(frame["a_spellings"], frame["b_spellings"], frame["dated"], strict=True):
-                phases = {s["phase"] for s in left if s["phase"] is not None}, {s["phase"] for s in right if s["phase"] is not None}
-                if phases[0] and phases[1] and not phases[0] & phases[1]:
-                    scores.append(0)
-                    continue
-                best = max((compare(x, y) for x in left for y in right), default=0)
-                scores.append(best if both or best > 1 else 0)
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "a_pid": frame["a_pid"], "b_pid": frame["b_pid"], "score": scores})
-
     scored = possible.select(
         "a", "b", "a_pid", "b_pid", "a_spellings", "b_spellings", F.expr("a_start is not null and b_start is not null").alias("dated")
-    ).mapInPandas(score, "a bigint, b bigint, a_pid string, b_pid string, score int")
+    ).mapInPandas(_score_frame, "a bigint, b bigint, a_pid string, b_pid string, score int")
     good = cut_lineage(scored.where("score > 0"))
+    if good.isEmpty():
+        return None
     # an entity without identifier may go with one identifier only: that of its best partners
-    sided = good.select("a", "b", F.col("a").alias("from"), F.col("b_pid").alias("to_pid"), "score", F.col("a_pid").alias("own")).unionByName(
-        good.select("a", "b", F.col("b").alias("from"), F.col("a_pid").alias("to_pid"), "score", F.col("b_pid").alias("own"))
+    sides = F.array(
+        F.struct(F.col("a").alias("entity"), F.col("b").alias("other"), F.col("a_pid").alias("own"), F.col("b_pid").alias("to_pid")),
+        F.struct(F.col("b").alias("entity"), F.col("a").alias("other"), F.col("b_pid").alias("own"), F.col("a_pid").alias("to_pid")),
+    )
+    sided = good.select("a", "b", "score", F.inline(sides))
+    mine = Window.partitionBy("entity")
+    topped = sided.withColumn("top", F.max("score").over(mine)).where("score = top")
+    settled = topped.withColumn("least_pid", F.min("to_pid").over(mine)).withColumn("most_pid", F.max("to_pid").over(mine)).where(
+        "own is not null or least_pid is null or least_pid = most_pid"
     )
-    best = sided.groupBy("from").agg(F.max("score").alias("top"))
-    at_top = sided.join(best, "from").where("score = top")
-    doubtful = at_top.where("own is null").groupBy("from").agg(F.count_distinct("to_pid").alias("ids")).where("ids > 1").select("from")
-    agreed = at_top.join(doubtful, "from", "left_anti").groupBy("a", "b").agg(F.count("*").alias("sides"))
-    return agreed.where("sides = 2").select("a", "b")
+    agreed = settled.groupBy("a", "b").agg(F.count("*").alias("sides")).where("sides = 2")
+    moves = cut_lineage(agreed.groupBy(F.col("b").alias("entity")).agg(F.min("a").alias("to")))
+    return None if moves.isEmpty() else moves
 
 
 def link_departments(panel: DataFrame) -> DataFrame:
@@ -300,12 +319,11 @@ def link_departments(panel: DataFrame) -> DataFrame:
     body = F.regexp_extract("publication_slug", r"^[a-z]+-([a-z]+)-", 1)
     counts = panel.where(~is_filler(F.col("department"))).groupBy(F.col("department").alias("name"), body.alias("body")).agg(F.count("*").alias("n"))
     most = counts.where("body <> ''").groupBy("name").agg(F.max_by("body", F.struct("n", F.hash("body"))).alias("body"))
-    names = counts.select("name").distinct().join(most, "name", "left")
     letters = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", "")
-    keys = F.array_compact(F.array(F.when(F.col("body").isNotNull(), F.xxhash64(F.lit("body"), F.col("body"))), F.xxhash64(F.lit("letters"), letters)))
-    sid = F.xxhash64(F.lit("name"), F.col("name"))
-    joined = connected_components(names.select(sid.alias("sid"), F.explode(keys).alias("key")), "sid", "key")
-    return names.select("name", sid.alias("node")).join(joined, "node").select("name", F.col("component").alias("entity"))
+    names = counts.select("name").distinct().join(most, "name", "left").withColumn("letters", letters)
+    by_letters = names.groupBy("letters").agg(F.min("body").alias("likely"))
+    entity = F.coalesce(F.xxhash64(F.lit("body"), F.coalesce("body", "likely")), F.xxhash64(F.lit("letters"), "letters"))
+    return names.join(by_letters, "letters").select("name", F.when(F.coalesce("body", "likely").isNotNull(), entity).otherwise(F.xxhash64(F.lit("letters"), "letters")).alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame, field: str) -> DataFrame:

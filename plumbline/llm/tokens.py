@@ -206,10 +206,11 @@ def encode_documents(documents: DataFrame, text: str = "text", path: str = RANKS
 
     Ids are those of the byte-level vocabulary without special tokens: marks such as
     ``<|endoftext|>`` inside a text are ordinary text.  Null and empty texts give an empty list.  Texts of
-    any length are encoded whole.  ``piece_starts`` are offsets in code points.
+    any length are encoded whole.  ``piece_starts`` are offsets in code points.  Columns of ``documents``
+    that are named like the new ones are replaced.
     """
     raw = ship_ranks(documents.sparkSession, path)
-    kept = [c for c in documents.columns if c != text]
+    kept = [c for c in documents.columns if c not in (text, "ids", "piece_starts")]
     names = [*kept, "ids", *(["piece_starts"] if offsets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,7 @@ def encode_documents(documents: DataFrame, text: str = "text", path: str = RANKS
 def count_tokens(documents: DataFrame, text: str = "text", path: str = RANKS_PATH, name: str = "n_tokens") -> DataFrame:
     """``documents`` without ``text``, with the number of its tokens."""
     raw = ship_ranks(documents.sparkSession, path)
-    kept = [c for c in documents.columns if c != text]
+    kept = [c for c in documents.columns if c not in (text, name)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw)
@@ -256,7 +257,7 @@ def count_tokens(documents: DataFrame, text: str = "text", path: str = RANKS_PAT
 def decode_documents(encoded: DataFrame, ids: str = "ids", path: str = RANKS_PATH) -> DataFrame:
     """``encoded`` without ``ids``, with the ``text`` that they stand for."""
     raw = ship_ranks(encoded.sparkSession, path)
-    kept = [c for c in encoded.columns if c != ids]
+    kept = [c for c in encoded.columns if c not in (ids, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {v: k for k, v in _encoder(raw).ranks.items()}

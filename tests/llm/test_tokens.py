@@ -39,7 +39,7 @@ def test_any_text_like_the_library(coders, texts):
 
 def test_frames(spark):
     rows = [(1, None, 7), (2, "", 7), (3, "Hello world's end", None), (3, "Hello world's end", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids int").withColumnRenamed("ids", "extra")
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
     out = encode_documents(df, offsets=True).collect()
     assert [r["ids"] for r in out][:2] == [[], []] and out[2]["ids"] == out[3]["ids"] and out[2]["piece_starts"] == [0, 5, 11, 13]
     back = decode_documents(encode_documents(df)).collect()
