@@ -73,9 +73,7 @@ def day_first_date(value: Column) -> Column:
     """A date in any of the usual writings, day before month; null when it can't be read."""
     text = F.lower(F.trim(value))
     named = F.regexp_extract(text, r"^(\d{1,2})[\s\-./]+([a-z]{3})[a-z]*[\s\-./,]+(\d{4}|\d{2})$", 2)
-    month = F.lit(None).cast("int")
-    for i, name in enumerate(MONTHS, 1):
-        month = F.when(named == name, F.lit(i)).otherwise(month)
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), named).cast("int"), F.lit(0))
 
     def part(pattern, group):
         return F.regexp_extract(text, pattern, group).try_cast("int")
