@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents that a model is fitted on (the least by a seeded hash of their ids).
-SAMPLE = 20_000
+SAMPLE = 40_000
 #: Most words that keep a weight.
 WORDS = 40_000
 #: From this probability on a document counts as found.
