@@ -138,6 +138,9 @@ def compare(a: dict, b: dict) -> int:
                 initials = "".join(w[0] for w in full)
                 if single[0] in {p + initials + k for p in ("", x[0]) for k in KIND_INITIALS}:
                     return 2
+    # a full name states its phase, so by place alone it can't be that of a name with another
+    if a["phase"] != b["phase"] and ((a["phase"] is None and a["has_kind"]) or (b["phase"] is None and b["has_kind"])):
+        return 0
     for x, y in shared:
         ra, rb = [w for w in wa if w != x], [w for w in wb if w != y]
         if all(w in a["alien"] for w in ra) or all(w in b["alien"] for w in rb):
@@ -221,7 +224,7 @@ def _certain(known: DataFrame) -> DataFrame:
 
 def _block_keys(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entity, key) of close blocks: context and the head or tail of a rare word; and (entity, undated, key) of loose
-    blocks: body and the heads of two words."""
+    blocks: body with the heads of two words, or with the head of one and the initials of the others."""
     words = F.array_distinct(F.flatten(F.transform("spellings", lambda s: s["rare"])))
     close = profile.where("start is not null").select(
         "entity",
@@ -248,7 +251,16 @@ def _block_keys(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
         )
 
-    loose = profile.select("entity", F.col("start").isNull().alias("undated"), F.explode(F.array_distinct(F.flatten(F.transform("spellings", pairs)))).alias("key"))
+    def initials(s):
+        """Place and first letters: of a name of three words, or of one word and a short one."""
+        others = lambda x: F.filter(s["words"], lambda y: y != x)
+        key = lambda x, letters: F.xxhash64(F.lit("ini"), F.col("body"), F.substring(x, 1, 4), letters)
+        full = F.transform(s["words"], lambda x: key(x, F.array_join(F.transform(others(x), lambda y: F.substring(y, 1, 1)), "")))
+        short = lambda at: F.transform(s["words"], lambda x: key(x, F.substring(F.array_join(others(x), ""), at, 2)))
+        return F.when(F.size(s["words"]) == 3, full).when(F.size(s["words"]) == 2, F.concat(short(1), short(2))).otherwise(F.array().cast("array<bigint>"))
+
+    keys = F.concat(F.flatten(F.transform("spellings", pairs)), F.flatten(F.transform("spellings", initials)))
+    loose = profile.select("entity", F.col("start").isNull().alias("undated"), F.explode(F.array_distinct(keys)).alias("key"))
     return close, loose
 
 
@@ -268,7 +280,8 @@ def _score_frame(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _match(known: DataFrame) -> DataFrame | None:
     """(entity, to): where entities that agree move, each with its best partners only; None when nothing moves.
 
-    A chain of partners takes several rounds, since an entity moves one step at a time to the lesser one.
+    A chain of partners takes several rounds, since an entity moves one step at a time to the lesser one.  What
+    agrees by place and context only, with several entities, waits until these have become one.
     """
     profile = cut_lineage(
         known.groupBy("entity").agg(
@@ -302,8 +315,11 @@ def _match(known: DataFrame) -> DataFrame | None:
     sided = good.select("a", "b", "score", F.inline(sides))
     mine = Window.partitionBy("entity")
     topped = sided.withColumn("top", F.max("score").over(mine)).where("score = top")
-    settled = topped.withColumn("least_pid", F.min("to_pid").over(mine)).withColumn("most_pid", F.max("to_pid").over(mine)).where(
-        "own is not null or least_pid is null or least_pid = most_pid"
+    settled = (
+        topped.withColumn("least_pid", F.min("to_pid").over(mine))
+        .withColumn("most_pid", F.max("to_pid").over(mine))
+        .withColumn("partners", F.count("*").over(mine))
+        .where("(own is not null or least_pid is null or least_pid = most_pid) and (score > 1 or partners = 1)")
     )
     agreed = settled.groupBy("a", "b").agg(F.count("*").alias("sides")).where("sides = 2")
     moves = cut_lineage(agreed.groupBy(F.col("b").alias("entity")).agg(F.min("a").alias("to")))
