@@ -49,16 +49,17 @@ def cut_names(names: DataFrame, entity: str, name: str) -> DataFrame:
     name of the same entity goes on with a letter just where it stops.
     """
     distinct = names.select(entity, name).where(f"{name} is not null").distinct().withColumn("__p", plain_name(F.col(name)))
-    after = F.lead("__p").over(Window.partitionBy(entity).orderBy("__p"))
-    # the next different plain name: equal plain names stand together, so look past them by grouping
-    plain = distinct.select(entity, "__p").distinct().withColumn("__next", after)
-    goes_on = (
-        F.col("__next").startswith(F.col("__p"))
-        & F.substring(F.col("__next"), F.length("__p") + 1, F.lit(1)).rlike(r"\p{L}")
-        & F.col("__p").rlike(r"\p{L}$")
+    plain = distinct.select(entity, "__p").distinct()
+    # every beginning of a name that ends inside a word, to be met by equality
+    begun = plain.where(F.length("__p") > 1).select(
+        entity, "__p", F.explode(F.sequence(F.lit(1), F.length("__p") - 1)).alias("__n")
     )
+    inside = begun.where(F.substring(F.col("__p"), F.col("__n"), F.lit(2)).rlike(r"^\p{L}\p{L}$")).select(
+        entity, F.substring(F.col("__p"), F.lit(1), F.col("__n")).alias("__p")
+    )
+    met = plain.join(inside, [entity, "__p"], "left_semi").withColumn("__on", F.lit(True))
     return (
-        distinct.join(plain.where(goes_on).select(entity, "__p", F.lit(True).alias("__on")), [entity, "__p"], "left")
+        distinct.join(met, [entity, "__p"], "left")
         .where(F.coalesce("__on", F.lit(False)) | is_cut_name(F.col(name)))
         .select(entity, name)
     )

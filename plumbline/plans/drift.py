@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.drift import schema_changes, unified_table
+from ..operators.drift import FIELD_RULES, schema_changes, unified_table
 from ..session import table
 
 
@@ -29,4 +29,31 @@ def p6_table(spark, sf_dir):
 
 
 QUERIES = {"p6_found": p6_found, "p6_table": p6_table}
-SQL = {}
+
+
+def _rule(groups):
+    return " and ".join("regexp_matches(stem, '\\b(" + "|".join(words) + ")')" for words in groups)
+
+
+_FIELD = "case " + " ".join(f"when {_rule(groups)} then '{name}'" for name, groups in FIELD_RULES) + " end"
+_YEAR = "\\b(fy\\s*)?(\\d{4}|\\d{2})\\s*[/\\-–]\\s*(\\d{4}|\\d{2})\\b|\\bfy\\s*\\d{2,4}\\b|\\b(19|20)\\d{2}\\b"
+_STEM = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(key, '_', ' ')), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '"
+    + _YEAR
+    + "', ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+)
+SQL = {
+    "p6_found": f"""with j as (select publication_slug, try_cast(record as json) as j from publication_rows where publication_slug is not null and try_cast(record as json) is not null and json_type(try_cast(record as json)) = 'OBJECT'),
+      k as (select publication_slug, unnest(json_keys(j)) as key, j from j), e as (select distinct publication_slug, key, json_type(j, '$."' || replace(key, '"', '\\"') || '"') as kind from k),
+      s as (select publication_slug, {_STEM} as stem, case when kind = 'VARCHAR' then 'string' when kind = 'BOOLEAN' then 'boolean' when kind = 'ARRAY' then 'array' when kind = 'OBJECT' then 'object' else 'number' end as type from e where kind <> 'NULL'),
+      f as (select publication_slug, {_FIELD} as field_name, stem, type from s),
+      m as (select publication_slug, 'money_header_implies' as field_name, '' as stem, case when regexp_full_match(trim(money_header_implies), '\\d{{4,6}}(\\.0*)?') then 'serial'
+          when regexp_full_match(trim(money_header_implies), '(?i)(fy\\s*)?(\\d{{4}}|\\d{{2}})\\s*[/\\-]\\s*(\\d{{4}}|\\d{{2}})') then 'financial year' else 'date' end as type from table_calendar_validation where trim(money_header_implies) <> ''),
+      u as (select publication_slug, field_name, list_sort(list_distinct(list(stem))) as stems, list_sort(list_distinct(list(type))) as types from (select * from f where field_name is not null union all select * from m) group by 1, 2),
+      c as (select distinct publishing_body, publication_year, publication_slug from table_calendar_validation where publishing_body is not null and publication_year is not null and publication_slug is not null),
+      p as (select publication_slug as cur, lag(publication_slug) over (partition by publishing_body order by publication_year, publication_slug) as before from c),
+      d as (select distinct cur, before, field_name from p join u on u.publication_slug in (cur, before) where before is not null),
+      x as (select d.cur, d.field_name, n.stems as ns, o.stems as os, n.types as nt, o.types as ot from d left join u n on n.publication_slug = d.cur and n.field_name = d.field_name left join u o on o.publication_slug = d.before and o.field_name = d.field_name)
+      select cur as publication_slug, field_name, 'added' as change_kind from x where os is null union all select cur, field_name, 'removed' from x where ns is null
+      union all select cur, field_name, 'renamed' from x where ns <> os union all select cur, field_name, 'type_changed' from x where nt <> ot""",
+}

@@ -28,4 +28,24 @@ def p2_tables(spark, sf_dir):
 
 
 QUERIES = {"p2_found": p2_found, "p2_tables": p2_tables}
-SQL = {}
+
+
+def _kids(held: str, child_id: str | None) -> str:
+    """DuckDB list of the children held under a key, whatever their shape."""
+    leaf = f"json_exists({held}, '$.{child_id}') or len(list_filter(json_extract({held}, '$.*'), lambda v: json_type(v) not in ('OBJECT', 'ARRAY'))) > 0" if child_id else "false"
+    single = f"when json_type({held}) = 'VARCHAR' then [{held}]" if not child_id else ""
+    return f"case when json_type({held}) = 'ARRAY' then json_extract({held}, '$[*]') when json_type({held}) = 'OBJECT' then case when {leaf} then [{held}] else json_extract({held}, '$.*') end {single} end"
+
+
+_DOCS = """a as (select record_id, object_id, try_cast(date_modified as timestamptz) as dated, fetched_at, try_cast(body as json) as j from tender_records),
+  b as (select * replace (case when json_type(j) = 'VARCHAR' then try_cast(j->>'$' as json) else j end as j) from a),
+  c as (select * replace (case when json_type(j) = 'OBJECT' and not json_exists(j, '$.id') then coalesce(j->'$.response.data', j->'$.data', j) else j end as j) from b),
+  d as (select * from c where json_type(j) = 'OBJECT' qualify row_number() over (partition by coalesce(object_id, j->>'$.id') order by dated desc nulls last, fetched_at desc nulls last, record_id desc) = 1)"""
+SQL = {
+    "p2_found": f"""with {_DOCS},
+      bids as (select unnest({_kids("(j->'$.bids')", 'id')}) as x from d), aw as (select j->>'$.id' as p, unnest({_kids("(j->'$.awards')", 'id')}) as x from d), ch as (select j->>'$.id' as p, unnest({_kids("(j->'$.changes')", 'id')}) as x from d),
+      lv as (select x->>'$.id' as p, unnest({_kids("(x->'$.lotValues')", 'relatedLot')}) as y from bids), rt as (select x->>'$.id' as p, unnest({_kids("(x->'$.rationaleTypes')", None)}) as y from ch),
+      u as (select 'lot_values' as t, p, y->>'$.relatedLot' as c from lv where json_type(y) = 'OBJECT' union all select 'awards', p, x->>'$.id' from aw where json_type(x) = 'OBJECT' union all select 'changes', p, x->>'$.id' from ch where json_type(x) = 'OBJECT'
+        union all select 'rationale_types', p, trim(y->>'$') from rt where json_type(y) <> 'NULL')
+      select distinct t as child_table, p as parent_id, c as child_id from u where trim(p) <> '' and trim(c) <> ''""",
+}
