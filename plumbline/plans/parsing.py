@@ -18,7 +18,9 @@ def _t(spark, sf_dir, name):
 
 
 def money_kinds(spark, sf_dir):
-    rows = _t(spark, sf_dir, "panel_duplicates").where("wlc_baseline_gbp_m rlike '^[0-9 .,]*$' or wlc_baseline_gbp_m is null or wlc_baseline_gbp_m in ('TBC', 'n/a', 'not yet agreed', 'withheld - commercial')")
+    """Every row by the kind of its baseline cell, and the total of the figures as published: units are not converted
+    (p7_found does that), and by the rule of money_kind a cell with words such as GBP, pounds or thousand is prose."""
+    rows = _t(spark, sf_dir, "panel_duplicates")
     money = X.parse_money(F.col("wlc_baseline_gbp_m"))
     return rows.groupBy(X.money_kind(F.col("wlc_baseline_gbp_m")).alias("kind")).agg(F.count("*").alias("n"), F.sum(money.cast("decimal(24,6)")).cast("double").alias("total"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import parsing as X
 from plumbline.operators import sheets, tenders, windows
+from plumbline.plans import parsing as queries
 
 
 def one(spark, values, column):
@@ -26,6 +27,13 @@ def test_money(spark, cell, kind, money):
     assert one(spark, [cell], X.money_kind) == [kind] and one(spark, [cell], X.parse_money) == [money]
 
 
+def test_money_kinds_takes_every_row(spark, tmp_path):
+    cells = ["12.5", "£1,234.5m", "(3)", "536.26 million", "158,570 (£000)", "Low: 1, Mid: 2, High: 4", "not published", "about three", "GBP 2,798.57m", "TBC", "", None]
+    spark.createDataFrame([(v,) for v in cells], "wlc_baseline_gbp_m string").write.parquet(f"{tmp_path}/panel_duplicates.parquet")
+    got = {r["kind"]: (r["n"], r["total"]) for r in queries.money_kinds(spark, str(tmp_path)).collect()}
+    assert got == {"value": (5, 12.5 + 1234.5 - 3 + 536.26 + 158570), "range": (1, 2.0), "withheld": (1, None), "prose": (2, None), "missing": (3, None)}
+
+
 def test_percentages(spark):
     assert one(spark, ["5%", "0.05", "0.5%", "12", "1", "-0.2", "n/a", None], X.parse_percent) == [5.0, 5.0, 0.5, 12.0, 1.0, -20.0, None, None]
 
