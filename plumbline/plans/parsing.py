@@ -33,11 +33,12 @@ def rating_forms(spark, sf_dir):
 
 
 def date_orders(spark, sf_dir):
-    """Per file: votes for day or month first, and how many end dates can then be read."""
+    """Per file: votes of numeric dates for day or month first, and how many end dates of any writing can then be read."""
     day, month = X.order_votes(F.col("end_date"))
-    rows = _t(spark, sf_dir, "panel_duplicates").where("end_date rlike '^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$'")
-    votes = rows.groupBy("publication_slug").agg(F.count_if(day).alias("day_votes"), F.count_if(month).alias("month_votes"))
-    read = X.with_parsed_date(rows.join(votes, "publication_slug"), "end_date", F.col("month_votes") > F.col("day_votes"), "d")
+    rows = _t(spark, sf_dir, "panel_duplicates").select("publication_slug", "end_date")
+    votes = rows.groupBy(F.col("publication_slug").alias("slug")).agg(F.count_if(day).alias("day_votes"), F.count_if(month).alias("month_votes"))
+    joined = rows.join(votes, F.col("publication_slug").eqNullSafe(F.col("slug")))
+    read = X.with_parsed_date(joined, "end_date", F.col("month_votes") > F.col("day_votes"), "d")
     return read.groupBy("publication_slug").agg(F.max("day_votes").alias("day_votes"), F.max("month_votes").alias("month_votes"), F.count("d").alias("n_read"), F.max("d").alias("latest"))
 
 

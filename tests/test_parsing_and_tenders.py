@@ -50,6 +50,17 @@ def test_file_order_of_dates(spark):
     assert got["b", "Low: 01/02/2020, Mid: 02/03/2020, High: x"] == D(2020, 2, 3)
 
 
+def test_date_orders_reads_every_writing(spark, tmp_path):
+    rows = [
+        ("a", "13/02/2020"), ("a", "03/04/2020"), ("a", "2024-08-27"), ("a", "20280221"), ("a", "02.04.2017"), ("a", "10-Jan-17"), ("a", "16 December 2030"), ("a", "TBC"), ("a", None),
+        ("b", "2021-05-06"), ("b", "n/a"), ("c", None), (None, "02/13/2020"), (None, "03/04/2020"),
+    ]
+    spark.createDataFrame(rows, "publication_slug string, end_date string").write.parquet(f"{tmp_path}/panel_duplicates.parquet")
+    got = {r["publication_slug"]: tuple(r)[1:] for r in queries.date_orders(spark, str(tmp_path)).collect()}
+    D = dt.date
+    assert got == {"a": (1, 0, 7, D(2030, 12, 16)), "b": (0, 0, 1, D(2021, 5, 6)), "c": (0, 0, 0, None), None: (0, 1, 2, D(2020, 3, 4))}
+
+
 def test_scales_and_instants(spark):
     assert one(spark, ["Negligible-to-Low", "modest", "High", "Satisfactory", None], X.four_point) == [1, 2, 4, None, None]
     assert one(spark, ["modest", "moderate", "High", "x"], X.risk_vintage) == ["new", "old", "both", None]
