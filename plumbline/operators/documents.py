@@ -78,15 +78,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+def word_sets(rows: DataFrame, ident: str, words: str) -> DataFrame:
+    """(id, w) of rows with words: their distinct words in order."""
+    return rows.where(F.col(words).isNotNull() & (F.size(words) > 0)).select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
+
+
+def set_members(rows: DataFrame, ident: str, words: str) -> DataFrame:
+    """(id, representative): every id with the least id of those with an equal word set, which stands for it in ``similar_sets``."""
+    sets = word_sets(rows, ident, words).distinct()
+    own = sets.groupBy("w").agg(F.min("id").alias("representative"))
+    return sets.join(own, "w").select("id", "representative")
+
+
 def similar_sets(rows: DataFrame, ident: str, words: str, least: float) -> DataFrame:
     """Pairs of rows whose word sets have a Jaccard similarity of at least ``least``, by prefix filtering.
 
     Words are ordered by rarity; two sets that are similar enough share a word among the first few of each,
     so only those are joined on, and sizes must be near.  Equal sets are taken once: the result holds pairs of
-    the least ids of their sets, so copies are never paired with each other.
+    the least ids of their sets, and ``set_members`` has the ids that each of these stands for.
     """
-    sets = rows.where(F.col(words).isNotNull() & (F.size(words) > 0)).select(F.col(ident).alias("id"), F.array_sort(F.array_distinct(words)).alias("w"))
-    own = sets.groupBy("w").agg(F.min("id").alias("id"))
+    own = word_sets(rows, ident, words).groupBy("w").agg(F.min("id").alias("id"))
     freq = own.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
     ranked = own.select("id", F.explode("w").alias("word")).join(freq, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "word"))).alias("r"))
     rare = ranked.select("id", F.col("r.word").alias("w")).withColumn("n", F.size("w"))

@@ -101,11 +101,20 @@ def components(spark, sf_dir):
     return sizes.groupBy("size").agg(F.count("*").alias("n_components"))
 
 
-def name_jaccard(spark, sf_dir):
-    """Pairs of different project names whose word sets are at least 0.8 alike, under one id per word set."""
+def _worded_names(spark, sf_dir):
     names = _t(spark, sf_dir, "panel_duplicates").where("trim(project_name) <> ''").select("project_name").distinct()
-    rows = names.select(F.col("project_name").alias("id"), F.split(plain_name(F.col("project_name")), " ").alias("words"))
-    return D.similar_sets(rows, "id", "words", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return names.select(F.col("project_name").alias("id"), F.split(plain_name(F.col("project_name")), " ").alias("words"))
+
+
+def name_jaccard(spark, sf_dir):
+    """Pairs of different project names whose word sets are at least 0.8 alike, under one id per word set; the other
+    names with that word set are in name_jaccard_members."""
+    return D.similar_sets(_worded_names(spark, sf_dir), "id", "words", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def name_jaccard_members(spark, sf_dir):
+    """Every project name with the name that stands for its word set in name_jaccard; two names with the same one are alike by 1."""
+    return D.set_members(_worded_names(spark, sf_dir), "id", "words")
 
 
 def block_collapse(spark, sf_dir):
@@ -144,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explode_ids, qualifying_doc, qualifying_fates, funnel_sets, latest_rating, disagreement_by_year, outcome_labels, vintage_threshold, cohort_coverage,
-        covered_cohorts, ocr_noise, column_dictionary, components, name_jaccard, block_collapse, text_length_bands, embedding_centroids, feed_days,
+        covered_cohorts, ocr_noise, column_dictionary, components, name_jaccard, name_jaccard_members, block_collapse, text_length_bands, embedding_centroids, feed_days,
         rating_duplicates,
     )
 }

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from plumbline.operators import documents as DOC
 from plumbline.operators import guards, lots, panel, refclass, resample, scoring, variance
 from plumbline.operators.link import connected_components
+from plumbline.plans import documents as document_queries
 
 pairs = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.sampled_from([0, 1, None]), st.sampled_from([0.0, 0.1, 0.5, 0.5, 0.9, 1.0, None])), min_size=0, max_size=40)
 quick = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -139,6 +140,18 @@ def test_similar_sets_match_enumeration(spark):
     assert got == want
 
 
+def test_every_name_keeps_its_links_through_its_set(spark, tmp_path):
+    names = ["Dornolstead Flood Barrier Project", "Flood Barrier Project, Dornolstead", "DORNOLSTEAD flood-barrier project", "Dornolstead Flood Barrier Project (DFBP)", "Hill Road Scheme", "Hill Road Scheme", " ", None]
+    spark.createDataFrame([(n,) for n in names], "project_name string").write.parquet(f"{tmp_path}/panel_duplicates.parquet")
+    members = {r["id"]: r["representative"] for r in document_queries.name_jaccard_members(spark, str(tmp_path)).collect()}
+    links = {tuple(sorted(p)): 1.0 for p in combinations(members, 2) if members[p[0]] == members[p[1]]}
+    for r in document_queries.name_jaccard(spark, str(tmp_path)).collect():
+        links |= {tuple(sorted((x, y))): r["similarity"] for x in members for y in members if members[x] == r["a"] and members[y] == r["b"]}
+    bags = {n: frozenset("".join(c if c.isalnum() else " " for c in n.lower()).split()) for n in names if n and n.strip()}
+    scores = {tuple(sorted((x, y))): round(len(bags[x] & bags[y]) / len(bags[x] | bags[y]), 6) for x, y in combinations(bags, 2)}
+    assert set(members) == set(bags) and links == {p: s for p, s in scores.items() if s >= 0.8} and len(links) == 6
+
+
 def test_best_threshold(spark):
     rng = random.Random(8)
     rows = [("g", rng.randrange(2000, 2006), rng.choice([0, 1])) for _ in range(40)] + [("h", 2000, 1), ("h", None, 0)]
