@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import ledger as L
 from ..session import table
+from ..sources.readers import years_missing
 
 KEY = L.KEY
 
@@ -36,10 +37,8 @@ def order_ledger_scan(spark, sf_dir):
 
 
 def year_gaps(spark, sf_dir):
-    """Fiscal years between the first and the last in which no action has an odd source year."""
-    years = _ledger(spark, sf_dir).where("source_fiscal_year % 3 <> 0").select(F.col("source_fiscal_year").alias("fy")).distinct()
-    span = years.agg(F.explode(F.sequence(F.min("fy"), F.max("fy"))).alias("fy"))
-    return span.join(years, "fy", "left_anti")
+    """Fiscal years between the ledger's first and last source year that have no action."""
+    return years_missing(_ledger(spark, sf_dir), "source_fiscal_year").select(F.col("year").alias("fy"))
 
 
 def action_type_counts(spark, sf_dir):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import ledger as L
+from plumbline.plans import ledger as queries
 
 D = dt.date
 SCHEMA = (
@@ -113,3 +114,9 @@ def test_daily_history_of_one_row_and_nulls(spark):
     df = spark.createDataFrame([("g", D(2020, 1, 1), 1.0), ("g", D(2020, 1, 1), None), ("g", D(2020, 1, 2), None), (None, D(2020, 1, 1), 1.0), ("g", None, 1.0)], "g string, d date, v double")
     got = {r["d"]: r for r in L.daily_history(df, "g", "d", F.col("d"), {"v": F.col("v")}).collect()}
     assert got[D(2020, 1, 1)]["n_before"] == 0 and got[D(2020, 1, 1)]["v_n"] == 1 and got[D(2020, 1, 2)]["n_before"] == 2 and got[D(2020, 1, 2)]["v_mean"] == 1.0
+
+
+@pytest.mark.parametrize(("years", "gaps"), [([2011, 2012, 2013, 2014, 2016, 2016, None, 2019], {2015, 2017, 2018}), ([2011, 2012, 2013], set()), ([None], set()), ([], set())])
+def test_year_gaps_are_those_of_the_whole_ledger(spark, tmp_path, years, gaps):
+    spark.createDataFrame([(y,) for y in years], "source_fiscal_year int").write.parquet(f"{tmp_path}/action_ledger.parquet")
+    assert {r["fy"] for r in queries.year_gaps(spark, str(tmp_path)).collect()} == gaps
