@@ -42,6 +42,22 @@ def test_mix(spark):
     assert again == sorted(map(tuple, got))
 
 
+def test_every_document_of_equal_texts_can_be_used(spark):
+    """Supply of a source: the tokens of all its documents times its repeats, whoever else has their texts."""
+    rows = [(i, f"text {i % 4} is held by many", "a", "x") for i in range(12)] + [(100 + i, f"text {i % 2} is held by many", "b", "x") for i in range(5)] + [(200, "only here", "b", "x"), (200, "only here", "b", "x")]
+    docs, most = spark.createDataFrame(rows, DOCS), {"a": 3, "b": 2}
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 2), ("gone", 0.0, 1)], TARGETS)
+    got = mix(docs, targets, total_tokens=1_000_000)[0].collect()
+    assert {(r["doc_id"], r["source"], r["n_uses"]) for r in got} == {(i, s, most[s]) for i, _, s, _ in rows} and len(got) == 18
+    supply = {s: sum(r["n_uses"] * r["n_tokens"] for r in got if r["source"] == s) for s in most}
+    part, total = mix(docs, targets)
+    part = part.collect()
+    assert abs(total - min(supply["a"] / 0.7, supply["b"] / 0.3)) <= 4 and all(0 < r["n_uses"] <= most[r["source"]] for r in part)
+    # texts come before further documents with the same text
+    few = mix(docs, targets.where("source = 'a'"), total_tokens=int(4 * got[0]["n_tokens"] / 0.7))[0].collect()
+    assert {r["doc_id"] for r in few} == {0, 1, 2, 3} and solve({("a",): 10, ("a", "a"): 20}, {"a": (1.0, 2)}, 30)[1] == {(("a",), "a"): 10, (("a", "a"), "a"): 20}
+
+
 def test_unreachable_targets_are_reported(spark):
     docs = corpus(spark, {"a": 30, "b": 3})
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("gone", 0.1, 1)], TARGETS)
