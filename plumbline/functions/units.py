@@ -89,7 +89,7 @@ def parse_unit(text: str, dimension: str = "money") -> Unit | None:
     for i in range(n):
         for rooted in (False, True):
             for scaled in (False, True):
-                state = best.get((i, rooted, scaled))
+                state = best.pop((i, rooted, scaled), None)
                 if state is None:
                     continue
                 score, factor, dim, exponent = state

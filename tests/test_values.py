@@ -43,6 +43,15 @@ def test_long_unit_text_is_read_in_reasonable_time():
     assert parse_unit("very " * 60 + "£k").factor == 1e3
 
 
+def test_unit_after_four_hundred_characters_is_read(spark):
+    far = "very " * 100
+    assert one(spark, [far + "£k", far, f"{far}£bn {far}", "x" * 500_000 + " £k", "- " * 100_000 + "£m"], unit_factor) == [1e3, None, 1e9, 1e3, 1e6]
+    schema = "row_id long, wlc_baseline_gbp_m string, fy_forecast_gbp_m string, wlc_narrative string"
+    rows = [(1, "5", None, f"All figures in this return are {far}stated in £k."), (2, f"5 {far}£k", None, None), (3, "5", None, None)]
+    got = {(r["row_id"], r["field_name"]): r["pounds"] for r in foreign_amounts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, "wlc_baseline_gbp_m"): 5000, (2, "wlc_baseline_gbp_m"): 5000}
+
+
 def test_fillers_and_cut_offs(spark):
     assert one(spark, [None, "", "  ", "TBC", "N/A ", "see  previous return", "£3m", "x"], is_filler) == [True] * 6 + [False] * 2
     assert one(spark, [None, "Whole.", "Cut of", "Cut...", "Cut…", "Cut [cont]", "“Said.”"], is_cut_text) == [False, False, True, True, True, True, False]
