@@ -30,8 +30,8 @@ LONG_KINDS = ("project", "programme", "scheme", "delivery", "upgrade")
 KIND_INITIALS = ("", "p", "s", "dp", "up")
 STOP_WORDS = ("for", "at", "the", "of", "and", "in", "a")
 COUNTS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5}
-#: Rounds of merging and matching before giving up; two or three are usual.
-ROUNDS = 8
+#: Rounds of merging and matching after which an error is raised; two or three are usual, a chain of n entities may take n.
+ROUNDS = 200
 
 
 @lru_cache(maxsize=200_000)
@@ -184,6 +184,8 @@ def link_projects(panel: DataFrame) -> DataFrame:
         known = cut_lineage(
             known.join(moves, "entity", "left").withColumn("entity", F.coalesce("to", "entity")).drop("to")
         )
+    else:
+        raise RuntimeError(f"linking still merges after {ROUNDS} rounds")
     return known.select("name", "entity", "pid")
 
 
@@ -204,7 +206,7 @@ def _with_frequencies(names: DataFrame) -> DataFrame:
             F.collect_set(F.when((F.col("kinds") - F.col("has_kind").cast("int")) < 1, F.col("word"))).alias("alien"),
         )
     )
-    return parsed.join(back, "sid", "left").withColumn("rare", F.slice(F.col("rare.word"), 1, 3))
+    return parsed.join(back, "sid", "left").withColumn("rare", F.col("rare.word"))
 
 
 def _certain(known: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def _certain(known: DataFrame) -> DataFrame:
 
 
 def _block_keys(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, key) of close blocks: context and the head or tail of a rare word; and (entity, undated, key) of loose
+    """(entity, key) of close blocks: context and the head or tail of a word; and (entity, undated, key) of loose
     blocks: body with the heads of two words, or with the head of one and the initials of the others."""
     words = F.array_distinct(F.flatten(F.transform("spellings", lambda s: s["rare"])))
     close = profile.where("start is not null").select(
