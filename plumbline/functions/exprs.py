@@ -12,6 +12,11 @@ HORIZONS = (12, 24, 36)
 PLACEHOLDER = r"(?i)\b(MISCELLANEOUS|MULTIPLE|UNDISCLOSED|REDACTED|VARIOUS)\b"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fiscal_year(d: Column) -> Column:
     return (F.year(d) + (F.month(d) >= 10).cast("int")).cast("int")
 
@@ -132,8 +137,17 @@ def value_change_ratio(reg, reg_net, reg_vat, sign, sign_net, sign_vat) -> Colum
     return F.coalesce(net, gross)
 
 
-def noise_score(text: Column) -> Column:
-    """Marks of bad scanning per thousand words; null below 50 words."""
-    words = F.size(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)))
-    marks = F.size(F.regexp_extract_all(text, F.lit(r"(\b\w*[a-z][0-9][a-z]\w*|\btbe\b|\bretum\b|\bfoumi\w*)"), F.lit(1)))
-    return F.when(words >= 50, 1000.0 * marks / words)
+#: What common words turn into in scanned texts.
+SCAN_MARKERS = ("Ia", "ofthe", "tbe", "tbat", "arid", "aud", "conunitment", "developmnent", "projeet", "fmancial", "fmancing", "J3ank", "WorId", "Baak")
+
+
+def noise_scores(text: Column, least: int = 500) -> Column:
+    """struct(markers, singles): marks of bad scanning per thousand words of letters, and the share of words that are
+    one letter other than a and i; both null below ``least`` words."""
+    words = F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), F.lit(1))
+    n = F.size(words)
+    tokens = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    marks = F.size(F.filter(tokens, lambda w: w.isin(*SCAN_MARKERS)))
+    single = F.size(F.filter(words, lambda w: (F.length(w) == 1) & ~F.lower(w).isin("a", "i")))
+    enough = n >= least
+    return F.struct(F.when(enough, 1000.0 * marks / n).alias("markers"), F.when(enough, single / n).alias("singles"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .ranks import exact_quantiles, same_keys
 
 
 def explode_identifiers(rows: DataFrame, column: str, pattern: str = r"^P\d+$", out: str = "project") -> DataFrame:
@@ -109,6 +110,12 @@ def similar_sets(rows: DataFrame, ident: str, words: str, least: float) -> DataF
     return checked.withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def noise_by(documents: DataFrame, by: list[str]) -> DataFrame:
-    scored = documents.withColumn("noise", E.noise_score(F.col("text")))
-    return scored.groupBy(*by).agg(F.count("*").alias("n"), F.count("noise").alias("n_scored"), F.round(F.avg("noise"), 6).alias("mean_noise"), F.round(F.median("noise"), 6).alias("median_noise"))
+def noise_by(documents: DataFrame, by: list[str], least: int = 500) -> DataFrame:
+    """Per group: documents, those with ``least`` words, and mean and middle of their marks of bad scanning and of their
+    share of single letters."""
+    scored = documents.withColumn("noise", E.noise_scores(F.col("text"), least)).withColumn("markers", F.col("noise.markers")).withColumn("singles", F.col("noise.singles"))
+    middle = exact_quantiles(scored, by, "markers", [0.5], "q").select(*by, F.col("q")[0].alias("middle_noise"))
+    rows = scored.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count("markers").alias("n_scored"), F.round(F.avg("markers"), 6).alias("mean_noise"), F.round(F.avg("singles"), 6).alias("mean_singles")
+    )
+    return same_keys(rows, middle, by, "left").select(*by, "n", "n_scored", "mean_noise", F.round("middle_noise", 6).alias("median_noise"), "mean_singles")

@@ -5,15 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import competition_ranks, exact_quantiles, running_totals, same_keys
 from .scoring import equal_count_bin, equal_count_edges
 
 
 def live_bids(bids: DataFrame) -> DataFrame:
     """Priced bids with their competition rank by price in the lot."""
-    return bids.where("price is not null and lot is not null").withColumn("rank_in_lot", F.rank().over(Window.partitionBy("lot").orderBy("price")))
+    return competition_ranks(bids.where("price is not null and lot is not null"), ["lot"], "price", "rank_in_lot")
 
 
 def lot_statistics(live: DataFrame) -> DataFrame:
@@ -56,14 +57,13 @@ def decile_table(rows: DataFrame, value: str, labels: list[str], bins: int = 10)
     """Equal-count bins with repeated edges dropped: extremes, median and rates."""
     one = rows.where(F.col(value).isNotNull()).withColumn("__all", F.lit(1))
     edges = equal_count_edges(one, ["__all"], value, bins)
-    return (
-        one.join(F.broadcast(edges), "__all")
-        .groupBy(equal_count_bin(F.col(value), F.col("edges")).alias("bin"))
-        .agg(
-            F.count("*").alias("n"), F.min(value).alias("low"), F.median(value).alias("middle"), F.max(value).alias("high"),
-            *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in labels],
-        )
-    )
+    # the edges are a single row
+    binned = one.join(F.broadcast(edges), "__all").withColumn("bin", equal_count_bin(F.col(value), F.col("edges"))).drop("edges", "__all")
+    middle = exact_quantiles(binned, ["bin"], value, [0.5], "q").select("bin", F.col("q")[0].alias("middle"))
+    found = binned.groupBy("bin").agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in labels]
+    )
+    return found.join(middle, "bin").select("bin", "n", "low", "middle", "high", *[f"{c}_rate" for c in labels])
 
 
 def standardised_difference(rows: DataFrame, treated: Column, cells: list[str], label: str) -> DataFrame:
@@ -88,9 +88,9 @@ def keep_best(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
 def within_cell_pairs(rows: DataFrame, cell: list[str], ident: str, signal: str, y: str, band: str, gap: int) -> DataFrame:
     """(n_pairs, right) over pairs of a cell with different outcomes, different keys and bands at most ``gap`` apart.
 
-    A pair is right when the higher signal has the outcome; ties count half.  Pairs are never formed: rows are
-    counted per (cell, key, band, outcome, signal), cells that lie within the gap are joined on the band, and
-    ranks within a cell give the number of signals below.
+    A pair is right when the higher signal has the outcome; ties count half.  Pairs are never formed: rows
+    are counted per (cell, key, band, signal), rows without the outcome once for every band within the gap, and running
+    totals give the number of signals below.
     """
     data = rows.where(F.col(y).isNotNull() & F.col(signal).isNotNull())
     positive = data.where(F.col(y) == 1).select(*cell, F.col(ident).alias("k"), F.col(band).alias("b"), F.col(signal).alias("s"), F.lit(1).alias("pos"), F.lit(0).alias("neg"))
@@ -99,23 +99,27 @@ def within_cell_pairs(rows: DataFrame, cell: list[str], ident: str, signal: str,
     )
     both = positive.unionByName(negative)
 
-    def statistic(by):
-        counts = both.groupBy(*by, "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        w = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-        u = w.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"))
-        return u.agg(F.sum(F.col("p") * F.col("q")).alias("pairs"), F.sum("u").alias("u"))
-
-    wide, own = statistic([*cell, "b"]).first(), statistic([*cell, "b", "k"]).first()
-    pairs, right = (wide["pairs"] or 0) - (own["pairs"] or 0), float(wide["u"] or 0) - float(own["u"] or 0)
-    return rows.sparkSession.createDataFrame([(pairs, right, right / pairs if pairs else None)], "n_pairs bigint, n_right double, accuracy double")
+    by = [*cell, "b", "own", "k2"]
+    # every signal counts once among all of its cell and band, and once among those of its key only
+    key = F.col("k").cast("string")
+    kinds = F.array(F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("k2")), F.struct(F.lit(True).alias("own"), key.alias("k2")))
+    each = both.select("*", F.inline(kinds))
+    counts = each.groupBy(*by, "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    u = running_totals(counts, by, "s", {"below": "neg"}).groupBy(*by).agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u")
+    )
+    sign = F.when(F.col("own"), -1).otherwise(1)
+    totals = u.agg(F.coalesce(F.sum(sign * F.col("p") * F.col("q")), F.lit(0)).cast("bigint").alias("n_pairs"), F.coalesce(F.sum(sign * F.col("u")), F.lit(0.0)).cast("double").alias("n_right"))
+    return totals.withColumn("accuracy", F.try_divide("n_right", "n_pairs"))
 
 
 def counterfactual_rows(live: DataFrame) -> DataFrame:
     """One row per lot and bidder with its best price, the price rank that this gives and who won."""
     best = live.groupBy("lot", "bidder").agg(F.min("price").alias("price"), F.bool_and("disqualified").alias("disqualified"))
-    ranks = Window.partitionBy("lot").orderBy("price")
-    return best.withColumn("price_rank", F.rank().over(ranks)).withColumn("rank_fraction", F.percent_rank().over(ranks))
+    sizes = best.groupBy("lot").agg(F.count("*").alias("__size"))
+    ranked = same_keys(competition_ranks(best, ["lot"], "price", "price_rank"), sizes, ["lot"])
+    fraction = F.coalesce(F.try_divide(F.col("price_rank") - 1, F.col("__size") - 1), F.lit(0.0))
+    return ranked.withColumn("rank_fraction", fraction).drop("__size")
 
 
 def transfer_cells(rows: DataFrame, bidder: str, division: str, won: str, forecast: str, y: str, least_won: int, least_lost: int) -> DataFrame:

@@ -31,6 +31,14 @@ def absences(panel: DataFrame, key: str, idx: str, body: str) -> DataFrame:
     )
 
 
+def column_values(rows: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The distinct values that are to become columns, in order; refuses more than ``most``, which no table holds."""
+    found = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values; they can't become columns")
+    return sorted(found)
+
+
 def cross_tab(panel: DataFrame, by: str, column: str, values: list[str]) -> DataFrame:
     """Counts by ``by`` in the fixed order of ``values``."""
     return panel.groupBy(by).pivot(column, values).count().na.fill(0)

@@ -1,8 +1,7 @@
 """Scores of forecasts: proper rules, discrimination by ranks, calibration and decompositions.
 
-All take rows with an outcome ``y`` (0 or 1) and a forecast ``p`` and drop pairs with a null.  Ranks come
-from counts per distinct score, so a window runs over scores and not over rows, and no score is
-computed on one task from all rows.
+All take rows with an outcome ``y`` (0 or 1) and a forecast ``p`` and drop pairs with a null.  Ranks and
+quantiles come from counts per distinct score and range of scores (``ranks``), so no task holds a group.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index
+from .ranks import average_ranks, exact_quantiles, running_totals, same_keys
 
 
 def known(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -54,8 +54,7 @@ def rank_counts(rows: DataFrame, by: list[str], y: str = "y", p: str = "p") -> D
     counts = known(rows, y, p).groupBy(*by, F.col(p).alias("__p")).agg(
         F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1 - F.col(y).cast("double")).alias("neg")
     )
-    below = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    ranked = running_totals(counts, by, "__p", {"below": "neg"})
     return ranked.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u")
     )
@@ -99,8 +98,8 @@ def calibration_fixed(rows: DataFrame, by: list[str], bins: int = 10, y: str = "
 
 def equal_count_edges(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     """(by, edges): exact quantiles with repeated ones dropped."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return rows.groupBy(*by).agg(F.array_distinct(F.percentile(value, shares)).alias("edges"))
+    found = exact_quantiles(rows, by, value, [i / bins for i in range(bins + 1)], "edges")
+    return found.withColumn("edges", F.array_distinct("edges"))
 
 
 def equal_count_bin(value: Column, edges: Column) -> Column:
@@ -111,7 +110,7 @@ def equal_count_bin(value: Column, edges: Column) -> Column:
 def calibration_equal_count(rows: DataFrame, by: list[str], bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     data = known(rows, y, p)
     return (
-        data.join(equal_count_edges(data, by, p, bins), by)
+        same_keys(data, equal_count_edges(data, by, p, bins), by)
         .groupBy(*by, equal_count_bin(F.col(p), F.col("edges")).alias("bin"))
         .agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("rate"))
     )
@@ -135,14 +134,6 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Rows with average rank of ``value`` within ``by``, from counts per distinct value."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn(name, F.coalesce(F.sum("__n").over(below), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return rows.join(ranked, [*by, value])
-
-
 def spearman_by(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; null for fewer than three rows or a constant side."""
     data = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))

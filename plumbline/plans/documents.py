@@ -6,6 +6,7 @@ from ..functions import exprs as E
 from ..functions.values import plain_name
 from ..operators import documents as D
 from ..operators.link import connected_components
+from ..operators.ranks import exact_quantiles, same_keys
 from ..session import table
 
 
@@ -73,9 +74,10 @@ def vintage_threshold(spark, sf_dir):
 def cohort_coverage(spark, sf_dir):
     """By approval year: projects, those with an evaluation, and the median years until it."""
     rows = D.latest_rating(_t(spark, sf_dir, "rated_projects")).withColumn("cohort", F.year("boardapprovaldate"))
-    return rows.groupBy("cohort").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("ieg_evaluation_fy").isNotNull().cast("double")), 6).alias("rated_share"), F.median((F.col("ieg_evaluation_fy") - F.col("cohort")).cast("double")).alias("median_years")
-    )
+    rows = rows.withColumn("years", (F.col("ieg_evaluation_fy") - F.col("cohort")).cast("double"))
+    shares = rows.groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ieg_evaluation_fy").isNotNull().cast("double")), 6).alias("rated_share"))
+    middle = exact_quantiles(rows, ["cohort"], "years", [0.5], "q")
+    return same_keys(shares, middle, ["cohort"], "left").select("cohort", "n", "rated_share", F.col("q")[0].alias("median_years"))
 
 
 def covered_cohorts(spark, sf_dir):
@@ -86,9 +88,15 @@ def covered_cohorts(spark, sf_dir):
 
 
 def ocr_noise(spark, sf_dir):
+    """Marks of bad scanning per source, of documents of 500 words or more."""
     return D.noise_by(_t(spark, sf_dir, "documents"), ["source"])
 
 
+def ocr_noise_short(spark, sf_dir):
+    """The same for documents of 50 words or more: most texts here are short."""
+    return D.noise_by(_t(spark, sf_dir, "documents"), ["source"], 50)
+
+
 def column_dictionary(spark, sf_dir):
     return D.column_dictionary(_t(spark, sf_dir, "rated_projects"), ["projectid", "project_name", "ieg_country", "boardapprovaldate", "ieg_outcome", "ieg_evaluation_fy"])
 
@@ -153,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         explode_ids, qualifying_doc, qualifying_fates, funnel_sets, latest_rating, disagreement_by_year, outcome_labels, vintage_threshold, cohort_coverage,
-        covered_cohorts, ocr_noise, column_dictionary, components, name_jaccard, name_jaccard_members, block_collapse, text_length_bands, embedding_centroids, feed_days,
+        covered_cohorts, ocr_noise, ocr_noise_short, column_dictionary, components, name_jaccard, name_jaccard_members, block_collapse, text_length_bands, embedding_centroids, feed_days,
         rating_duplicates,
     )
 }
@@ -171,7 +179,15 @@ _Q = """ap as (select projectid, min(boardapprovaldate) as approved from rated_p
   f as (select *, case when not rated then 'not rated' when approved is null then 'no approval date' when docdt is null then 'no document date' when docdt > approved + 30 then 'too late' end as fate from j),
   b as (select doc_id, projectid from f where fate is null qualify row_number() over (partition by projectid order by coalesce(lower(trim(lang)), '') <> 'en', docdt, doc_id) = 1),
   q as (select f.doc_id, f.projectid, coalesce(fate, case when b.doc_id is not null then 'kept' else 'not first' end) as fate from f left join b on b.doc_id = f.doc_id and b.projectid = f.projectid)"""
-_N = """n as (select *, len(regexp_extract_all(text, '(\\S+)')) as w, len(regexp_extract_all(text, '(\\b\\w*[a-z][0-9][a-z]\\w*|\\btbe\\b|\\bretum\\b|\\bfoumi\\w*)')) as m from documents)"""
+_N = """n as (select *, len(regexp_extract_all(text, '[A-Za-z]+')) as w, len(regexp_extract_all(text, '[A-Za-z]+')) - len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) > 1 or x in ('a', 'A', 'i', 'I'))) as one,
+    len(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: x in ('Ia', 'ofthe', 'tbe', 'tbat', 'arid', 'aud', 'conunitment', 'developmnent', 'projeet', 'fmancial', 'fmancing', 'J3ank', 'WorId', 'Baak'))) as m from documents)"""
+
+
+def _noise_sql(least):
+    ok = f"filter (w >= {least})"
+    return f"with {_N} select source, count(*) as n, count(*) {ok} as n_scored, round(avg(1000.0 * m / w) {ok}, 6) as mean_noise, round(median(1000.0 * m / w) {ok}, 6) as median_noise, round(avg(one / w) {ok}, 6) as mean_singles from n group by 1"
+
+
 
 SQL = {
     "explode_ids": "select source, count(*) as n, count(distinct upper(trim(projectid))) as n_projects from documents where regexp_matches(upper(trim(projectid)), '^P[0-9]+$') group by 1",
@@ -201,5 +217,6 @@ SQL = {
     "embedding_centroids": "with r as (select label, unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings), m as (select label, pos, cast(sum(cast(x as decimal(20,10))) as double) / count(*) as m from r group by 1, 2) select label, count(*) as dims, round(sqrt(sum(m * m)), 5) as norm from m group by 1",
     "feed_days": "select cast(ts as date) as day, event_type, count(*) as n, count(distinct user_id) as n_users from events group by 1, 2",
     "rating_duplicates": "with p as (select projectid, count(*) as n_rows, count(distinct boardapprovaldate) as d from rated_projects group by 1) select n_rows, count(*) as n_projects, max(d) as most_dates from p group by 1",
-    "ocr_noise": f"with {_N} select source, count(*) as n, count(*) filter (w >= 50) as n_scored, round(avg(1000.0 * m / w) filter (w >= 50), 6) as mean_noise, round(median(1000.0 * m / w) filter (w >= 50), 6) as median_noise from n group by 1",
+    "ocr_noise": _noise_sql(500),
+    "ocr_noise_short": _noise_sql(50),
 }

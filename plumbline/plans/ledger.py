@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import ledger as L
+from ..operators.ranks import exact_quantiles
 from ..session import table
-from ..sources.readers import years_missing
+from ..sources.readers import years_counted, years_missing
 
 KEY = L.KEY
 
@@ -41,6 +42,11 @@ def year_gaps(spark, sf_dir):
     return years_missing(_ledger(spark, sf_dir), "source_fiscal_year").select(F.col("year").alias("fy"))
 
 
+def years_present(spark, sf_dir):
+    """Every year between the ledger's first and last source year with its actions, and whether it is a gap."""
+    return years_counted(_ledger(spark, sf_dir), "source_fiscal_year").select(F.col("year").alias("fy"), F.col("n").alias("n_actions"), (F.col("n") == 0).alias("is_gap"))
+
+
 def action_type_counts(spark, sf_dir):
     rows = _ledger(spark, sf_dir).dropDuplicates(["action_id"])
     return rows.groupBy("award_type_code", "action_type_code").agg(F.count("*").alias("n"), F.count_distinct(KEY).alias("n_awards"))
@@ -171,14 +177,15 @@ def leak_comparison(spark, sf_dir):
 
 def continuous_summary(spark, sf_dir):
     rows = _long_labels(L.award_labels(_ledger(spark, sf_dir))).where("qualifies and growth is not null")
-    q = F.percentile("growth", F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.9, 0.99))))
-    return rows.groupBy("horizon").agg(
+    names = ("p01", "p25", "p50", "p75", "p90", "p99")
+    q = exact_quantiles(rows, ["horizon"], "growth", [0.01, 0.25, 0.5, 0.75, 0.9, 0.99], "q")
+    out = rows.groupBy("horizon").agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.col("growth").cast("decimal(24,10)")).cast("double"), 8).alias("mean"),
         F.round(F.stddev_samp("growth"), 6).alias("sd"),
-        *[F.round(q[i], 8).alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p90", "p99"))],
         F.round(F.avg((F.col("growth") == 0).cast("double")), 9).alias("share_zero"),
     )
+    return out.join(q, "horizon").select("*", *[F.round(F.col("q")[i], 8).alias(n) for i, n in enumerate(names)]).drop("q")
 
 
 def running_reconstruction(spark, sf_dir):
@@ -335,7 +342,7 @@ def relative_size_loo(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger_scan_typed, order_ledger_scan, year_gaps, action_type_counts, archive_recount, award_base_row, horizon_state_12_24_36, award_labels, funnel,
+        ledger_scan_typed, order_ledger_scan, year_gaps, years_present, action_type_counts, archive_recount, award_base_row, horizon_state_12_24_36, award_labels, funnel,
         award_history, award_panel, base_rates_rollup, leak_comparison, continuous_summary, running_reconstruction, restatement_share, last_nonfinal,
         fill_rates, name_fragmentation, placeholder_recipients, censoring_rollup, unseen_entity_slice, splits_by_year, top_codes, offer_bands,
         vehicle_programs, modal_value, vehicle_holders_all_sizes, order_keep_set, eligible_having, relative_size_loo,
@@ -423,7 +430,8 @@ hist as (select l.contract_award_unique_key, rn.rec_n as recipient_prior_award_c
 SQL = {
     "ledger_scan_typed": f"with {_TX} select source_fiscal_year as fy, is_base_mod, count(*) as n_actions, count(distinct {_K}) as n_awards, min(action_date) as first_date, max(action_date) as last_date, cast(sum(mod_seq) as bigint) as sum_mod_seq, cast(sum(txn_seq) as bigint) as sum_txn_seq from tx group by 1, 2",
     "order_ledger_scan": f"with {_TX} select fy, count(*) as n_actions, count(distinct {_K}) as n_orders from typed where award_type_code = 'C' group by 1",
-    "year_gaps": "with y as (select distinct source_fiscal_year as fy from action_ledger where source_fiscal_year % 3 <> 0) select cast(u.fy as int) as fy from (select unnest(generate_series((select min(fy) from y), (select max(fy) from y))) as fy) u where u.fy not in (select fy from y where fy is not null)",
+    "year_gaps": "with y as (select distinct source_fiscal_year as fy from action_ledger) select cast(u.fy as int) as fy from (select unnest(generate_series((select min(fy) from y), (select max(fy) from y))) as fy) u where u.fy not in (select fy from y where fy is not null)",
+    "years_present": "with y as (select source_fiscal_year as fy, count(*) as n from action_ledger where source_fiscal_year is not null group by 1), u as (select unnest(generate_series((select min(fy) from y), (select max(fy) from y))) as fy) select cast(u.fy as int) as fy, cast(coalesce(n, 0) as bigint) as n_actions, n is null as is_gap from u left join y using (fy)",
     "action_type_counts": f"with raw as (select distinct * from action_ledger) select award_type_code, action_type_code, count(*) as n, count(distinct {_K}) as n_awards from raw group by 1, 2",
     "archive_recount": f"select count(*) as n_rows, count_if(award_type_code = 'D') as n_type_d, count(distinct case when award_type_code = 'D' then {_K} end) as n_awards_d, count(*) - count(distinct action_id) as n_redelivered from action_ledger",
     "award_base_row": f"with {_BASE} select {_K}, action_id, action_date, first_action_date, n_base_rows, n_actions, base_is_first_action, cast(base_fy as int) as base_fy from base",

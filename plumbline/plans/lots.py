@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lots as T
 from ..operators.ledger import daily_history
-from ..operators.scoring import average_ranks
+from ..operators.ranks import average_ranks
 from ..session import table
 
 ORDER = ["bidder", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_tax"]

@@ -7,6 +7,7 @@ from ..functions import exprs as E
 from ..operators import panel as P
 from ..operators import resample as B
 from ..operators import variance as V
+from ..operators.ranks import exact_quantiles
 from ..operators.scoring import auc_by, correlation, spearman_by
 from ..session import table
 
@@ -50,7 +51,7 @@ def persistence_forecast(spark, sf_dir):
 
 
 def rating_crosstab(spark, sf_dir):
-    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(50).collect()]
+    kinds = P.column_values(table(spark, sf_dir, "events"), "event_type")
     out = P.cross_tab(_panel(spark, sf_dir), "body", "rating", kinds)
     return out.select("body", F.inline(F.array(*[F.struct(F.lit(k).alias("rating"), F.col(f"`{k}`").alias("n")) for k in kinds])))
 
@@ -59,7 +60,9 @@ def exit_buckets(spark, sf_dir):
     """Leavers by how far before the end they left, and the median total of leavers and stayers."""
     rows = P.absences(_panel(spark, sf_dir), "user_id", "idx", "body").where("exits is not null")
     bucket = F.when(~F.col("exits"), "stays").when(F.col("idx") >= 28, "last days").when(F.col("idx") >= 21, "last week").otherwise("earlier")
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.median(F.col("total").cast("double")), 6).alias("median_total"))
+    rows = rows.select(bucket.alias("bucket"), F.col("total").cast("double").alias("total"))
+    middle = exact_quantiles(rows, ["bucket"], "total", [0.5], "q")
+    return rows.groupBy("bucket").agg(F.count("*").alias("n")).join(middle, "bucket", "left").select("bucket", "n", F.round(F.col("q")[0], 6).alias("median_total"))
 
 
 def coverage_table(spark, sf_dir):

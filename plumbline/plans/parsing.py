@@ -21,8 +21,8 @@ def money_kinds(spark, sf_dir):
     """Every row by the kind of its baseline cell, and the total of the figures as published: units are not converted
     (p7_found does that), and by the rule of money_kind a cell with words such as GBP, pounds or thousand is prose."""
     rows = _t(spark, sf_dir, "panel_duplicates")
-    money = X.parse_money(F.col("wlc_baseline_gbp_m"))
-    return rows.groupBy(X.money_kind(F.col("wlc_baseline_gbp_m")).alias("kind")).agg(F.count("*").alias("n"), F.sum(money.cast("decimal(24,6)")).cast("double").alias("total"))
+    rows = rows.select(X.money_parts(F.col("wlc_baseline_gbp_m")).alias("m"))
+    return rows.groupBy("m.kind").agg(F.count("*").alias("n"), F.sum(F.col("m.figure").cast("decimal(24,6)")).cast("double").alias("total"))
 
 
 def rating_forms(spark, sf_dir):
@@ -175,15 +175,24 @@ _AG = "nullif(regexp_extract(contract_award_unique_key, '_([^_]+)$', 1), '')"
 _RATING = "case when lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))) in ('', '-', 'n/a', 'tbc', 'xxx', 'not provided', 'see previous return') then null else upper(replace(replace(replace(regexp_replace(lower({0}), '[^a-z]+', '', 'g'), 'green', 'g'), 'amber', 'a'), 'red', 'r')) end"
 _AT = "cast(date_modified as timestamptz)"
 SQL = {
-    "money_kinds": """with r as (select wlc_baseline_gbp_m as v from panel_duplicates where regexp_full_match(wlc_baseline_gbp_m, '[0-9 .,]*') or wlc_baseline_gbp_m is null or wlc_baseline_gbp_m in ('TBC', 'n/a', 'not yet agreed', 'withheld - commercial'))
-      select case when v in ('not yet agreed', 'withheld - commercial') then 'withheld' when v is null or trim(v) = '' or v in ('TBC', 'n/a') then 'missing' else 'value' end as kind, count(*) as n, cast(sum(try_cast(replace(trim(v), ',', '') as decimal(24,6))) as double) as total from r group by 1""",
+    "money_kinds": """with r as (select trim(regexp_replace(replace(replace(wlc_baseline_gbp_m, chr(160), ' '), '−', '-'), '\\s+', ' ', 'g')) as t from panel_duplicates),
+      k as (select t, case when regexp_matches(t, '(?i)\\b(exempt|sections?\\s+\\d|freedom of information|not (yet )?in a position|planning stage|commercial interests|national security|not applicable\\b|intended for future publication|formulation of government policy|international relations|law enforcement|defence\\b|no dca\\b|to be confirmed\\b|withheld|redacted|not yet agreed|not published|not disclosed|not provided|not available)') then 'withheld'
+          when t is null or lower(t) in ('', '-', '--', '?', '.', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'tbc', 'tbd', 'xxx', 'unknown', 'see previous return', 'as before', 'nan', '#n/a', 'not known') then 'missing'
+          when regexp_matches(t, '(?i)(low|mid)\\s*[:=]\\s*-?\\d') then 'range'
+          when regexp_matches(regexp_replace(t, '(?i)(\\d)\\s*(million|billion|mn|bn|m|k)\\.?$', '\\1'), '[^0-9 £$%.,()+<>~≤≥ÂœÿúâŒŸÚ-]') then 'prose' when regexp_matches(t, '\\d') then 'value' else 'missing' end as kind from r),
+      v as (select kind, case when kind = 'value' then try_cast(replace(regexp_extract(t, '-?\\d[\\d,]*(\\.\\d+)?'), ',', '') as decimal(24,6)) * case when t like '(%)' then -1 else 1 end
+          when kind = 'range' then try_cast(replace(regexp_extract(t, '(?i)mid\\s*[:=]\\s*(-?\\d[\\d,]*(\\.\\d+)?)', 1), ',', '') as decimal(24,6)) end as v from k)
+      select kind, count(*) as n, cast(sum(v) as double) as total from v group by 1""",
     "rating_forms": f"""with r as (select {_RATING.format('dca_ipa')} as rating, case when report_year between 2013 and 2021 then 'five' when report_year is not null then 'three' end as scale from panel_duplicates),
       k as (select *, case when scale = 'five' then case rating when 'G' then 0 when 'AG' then 1 when 'A' then 2 when 'AR' then 3 when 'R' then 4 end when scale = 'three' then case rating when 'G' then 0 when 'A' then 1 when 'R' then 2 end end as rk from r)
       select rating, scale, count(*) as n, max(rk) as rank, max(rk / case when scale = 'five' then 4.0 else 2.0 end) as normalised from k group by 1, 2""",
-    "date_orders": """with r as (select publication_slug, cast(split_part(end_date, '/', 1) as int) as a, cast(split_part(end_date, '/', 2) as int) as b, cast(split_part(end_date, '/', 3) as int) as y from panel_duplicates where regexp_full_match(end_date, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}')),
-      v as (select publication_slug, count_if(a > 12 and b <= 12) as d, count_if(b > 12 and a <= 12) as m from r group by 1),
-      p as (select r.publication_slug, d, m, case when m > d then coalesce(try_cast(printf('%04d-%02d-%02d', y, a, b) as date), try_cast(printf('%04d-%02d-%02d', y, b, a) as date)) else coalesce(try_cast(printf('%04d-%02d-%02d', y, b, a) as date), try_cast(printf('%04d-%02d-%02d', y, a, b) as date)) end as dt from r join v using (publication_slug))
-      select publication_slug, max(d) as day_votes, max(m) as month_votes, count(dt) as n_read, max(dt) as latest from p group by 1""",
+    "date_orders": """with t as (select publication_slug, trim(end_date) as t from panel_duplicates), q as (select publication_slug, t, case when regexp_full_match(t, '\\d{1,2}[-./]\\d{1,2}[-./](\\d{4}|\\d{2})') then string_split(regexp_replace(t, '[-.]', '/', 'g'), '/') end as p from t),
+      r as (select publication_slug, t, cast(p[1] as int) as a, cast(p[2] as int) as b, cast(p[3] as int) + case when length(p[3]) = 4 then 0 when cast(p[3] as int) < 70 then 2000 else 1900 end as y from q),
+      v as (select publication_slug, count(*) filter (a > 12 and b <= 12) as d, count(*) filter (b > 12 and a <= 12) as m from r group by 1),
+      p as (select r.publication_slug, d, m, case when a is null then cast(try_strptime(t, ['%Y-%m-%d', '%Y%m%d', '%d-%b-%y', '%d %B %Y', '%d %b %Y']) as date)
+          when m > d then coalesce(try_cast(printf('%04d-%02d-%02d', y, a, b) as date), try_cast(printf('%04d-%02d-%02d', y, b, a) as date)) else coalesce(try_cast(printf('%04d-%02d-%02d', y, b, a) as date), try_cast(printf('%04d-%02d-%02d', y, a, b) as date)) end as dt
+        from r join v on r.publication_slug is not distinct from v.publication_slug)
+      select publication_slug, max(d) as day_votes, max(m) as month_votes, count(dt) filter (year(dt) between 1990 and 2099) as n_read, max(dt) filter (year(dt) between 1990 and 2099) as latest from p group by 1""",
     "name_forms": "select regexp_replace(lower(project_name), '[^\\p{L}\\p{N}]+', '', 'g') as name, count(distinct project_name) as n_forms, count(*) as n from panel_duplicates where trim(project_name, ' ') <> '' group by 1 order by n_forms desc, n desc, name limit 25",
     "header_profile": """select case when regexp_full_match(money_header_implies, '[0-9]{5}') then 'serial' when regexp_full_match(money_header_implies, '(?i)(fy)?[0-9]{2,4}[-/][0-9]{2,4}') then 'financial year' when money_header_implies is null then 'none' else 'date' end as kind, count(*) as n,
       array_to_string(list_sort(list_distinct(list(cast(publication_year as varchar)) filter (publication_year is not null))), ' ') as years from table_calendar_validation group by 1""",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import refclass as R
 from ..operators import scoring as S
+from ..operators.ranks import exact_quantiles
 from ..session import table
 
 CELL = ["label", "horizon"]
@@ -97,8 +98,8 @@ def pinball_quantiles(spark, sf_dir):
     base = table(spark, sf_dir, "action_ledger").dropDuplicates(["action_id"]).where("federal_action_obligation > 0").select(
         E.split_of(E.fiscal_year(F.col("action_date"))).alias("split"), F.log10("federal_action_obligation").alias("x")
     )
-    shares = F.array(*[F.lit(t) for t in (0.01, 0.1, 0.5, 0.9, 0.99)])
-    q = base.where("split = 'train'").agg(F.percentile("x", shares).alias("q")).first()[0] or [0.0] * 5
+    found = exact_quantiles(base.where("split = 'train'"), ["split"], "x", [0.01, 0.1, 0.5, 0.9, 0.99], "q").first()
+    q = found["q"] if found else [0.0] * 5
     test = base.where("split = 'test'").withColumn("w", F.greatest(F.lit(q[0]), F.least("x", F.lit(q[4]))))
     losses = [
         F.struct(F.lit(t).alias("tau"), F.lit(round(v, 6)).alias("quantile"), F.avg(F.greatest(t * (F.col("w") - v), (t - 1) * (F.col("w") - v))).alias("loss"))
@@ -148,9 +149,10 @@ def category_lumping(spark, sf_dir):
 def quantile_edges(spark, sf_dir):
     rows = table(spark, sf_dir, "action_ledger").dropDuplicates(["action_id"]).where("federal_action_obligation > 0")
     x = F.round(F.log10("federal_action_obligation"), 8)
-    edges = rows.groupBy("award_type_code").agg(F.array_distinct(F.percentile(x, F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8))))).alias("edges"))
+    rows = rows.where("award_type_code is not null").withColumn("x", x)
+    edges = exact_quantiles(rows, ["award_type_code"], "x", [0.2, 0.4, 0.6, 0.8], "edges").withColumn("edges", F.array_distinct("edges"))
     return (
-        rows.join(edges, "award_type_code").groupBy("award_type_code", R.right_open_bin(x, F.col("edges")).alias("quintile")).agg(F.count("*").alias("n"))
+        rows.join(edges, "award_type_code").groupBy("award_type_code", R.right_open_bin(F.col("x"), F.col("edges")).alias("quintile")).agg(F.count("*").alias("n"))
     )
 
 

@@ -106,10 +106,16 @@ def coerce(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
 
 
+def years_counted(df: DataFrame, year: str) -> DataFrame:
+    """(year, n) for every year between the first and the last; n is 0 for a year without a row."""
+    years = df.select(F.col(year).alias("year")).where("year is not null").groupBy("year").agg(F.count("*").alias("n"))
+    span = years.agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))
+    return span.join(years, "year", "left").na.fill(0, ["n"])
+
+
 def years_missing(df: DataFrame, year: str) -> DataFrame:
     """Years between the first and the last that have no row."""
-    years = df.select(F.col(year).alias("year")).where("year is not null").distinct()
-    return years.agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year")).join(years, "year", "left_anti")
+    return years_counted(df, year).where("n = 0").select("year")
 
 
 def schema_difference(df: DataFrame, wanted: dict[str, str]) -> list[tuple[str, str | None, str | None]]:
