@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Timeline buckets that are counted to find hot entities; the count is a table of this many rows.
 LOAD_BUCKETS = 4096
-#: A bucket is hot when it holds this many times the mean load ...
+#: A bucket is hot, and is cut into pieces of that size, when it holds this many times the mean load.
 HOT_FACTOR = 8.0
-#: ... and at least so many rows.
-MIN_HOT_ROWS = 200_000
+#: Fewer rows than this are never cut: a piece costs more than it spares.
+MIN_HOT_ROWS = 1_000
 
 
 def as_of_latest(
@@ -44,8 +46,9 @@ def as_of_latest(
 
     Entities whose timeline is hot are sharded by time: shard bounds are quantiles of the
     timeline, every shard starts with a carry-in row that holds the greatest version of all
-    earlier shards, and each shard is merged by itself.  The result does not depend on
-    the sharding.  Defined cases: a version or event with a null in its key or time takes no part
+    earlier shards, and each shard is merged by itself.  An instant that is a bound is a shard of its own;
+    one that takes several pieces has its events dealt by a hash of the event, each piece with the same
+    carry-in row.  The result does not depend on the sharding.  Defined cases: a version or event with a null in its key or time takes no part
     (such events come out with a null version); a version available exactly at the event's time
     counts; repeated versions change nothing; repeated events each come out; columns of the two
     sides may clash, since versions come back inside one struct.
@@ -83,10 +86,10 @@ def as_of_latest(
 
     bounds = _hot_bounds(merged, hot_factor, min_hot_rows)
     if bounds is None:
-        sharded = merged.withColumn("__s", F.lit(0))
+        sharded = merged.withColumn("__s", F.lit(0)).withColumn("__p", F.lit(0))
     else:
         sharded = _shard(merged, bounds)
-    timeline = Window.partitionBy("__k", "__s").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    timeline = Window.partitionBy("__k", "__s", "__p").orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
     matched = (
         sharded.withColumn("version", F.max("__v").over(timeline))
         .where(F.col("__o") == 1)
@@ -99,57 +102,67 @@ def as_of_latest(
 
 
 def _hot_bounds(merged: DataFrame, hot_factor: float, min_hot_rows: int) -> DataFrame | None:
-    """Shard bounds of hot buckets (at most LOAD_BUCKETS / hot_factor rows), or None.
+    """(__b, __cuts): for each hot bucket its bounds in order, with how many pieces fall on each; None without any.
 
-    Only a histogram of LOAD_BUCKETS counts, combined before the shuffle, reaches the driver.
+    Only a histogram of LOAD_BUCKETS counts, combined before the shuffle, reaches the driver.  The bounds are at most
+    LOAD_BUCKETS / hot_factor rows of as many bounds, and are written down, since approximate quantiles
+    may differ when they are worked out again.
     """
     bucket = F.pmod("__h", F.lit(LOAD_BUCKETS)).cast("int")
     counts = {r["__b"]: r["n"] for r in merged.groupBy(bucket.alias("__b")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    target = max(min_hot_rows, total / LOAD_BUCKETS)
-    limit = max(float(min_hot_rows), hot_factor * total / LOAD_BUCKETS)
-    hot = {b: int(-(-n // target)) for b, n in counts.items() if n > limit}
+    target = max(1.0, float(min_hot_rows), hot_factor * sum(counts.values()) / LOAD_BUCKETS)
+    hot = {b: int(-(-n // target)) for b, n in counts.items() if n > target}
     if not hot:
         return None
-    spark = merged.sparkSession
     pieces = max(hot.values())
-    steps = [i / pieces for i in range(1, pieces)] or [0.5]
-    shares = spark.createDataFrame([(b,) for b in hot], "__b int")
-    return (
+    steps = [i / pieces for i in range(1, pieces)]
+    shares = merged.sparkSession.createDataFrame(list(hot.items()), "__b int, __pieces int")
+    quantiles = (
         merged.withColumn("__b", bucket)
-        .join(F.broadcast(shares), "__b", "left_semi")
+        .join(F.broadcast(shares), "__b")
         .groupBy("__b")
-        .agg(F.percentile_approx(F.col("__t").cast("timestamp").cast("double"), steps, 1000).alias("__bounds"))
+        .agg(F.percentile_approx(_micros(), steps, max(10_000, 10 * pieces)).alias("__q"), F.max("__pieces").alias("__pieces"))
     )
+    # a bucket of fewer pieces takes every so manieth bound
+    stride = F.greatest(F.lit(1), F.floor(F.lit(pieces) / F.col("__pieces"))).cast("int")
+    own = F.transform(F.sequence(stride, F.lit(pieces - 1), stride), lambda i: F.element_at("__q", i))
+    own = F.when(stride <= pieces - 1, own).otherwise(F.slice("__q", F.lit(1), F.lit(1)))
+    cuts = F.transform(F.array_distinct("__own"), lambda t: F.struct(t.alias("t"), F.size(F.filter("__own", lambda x: x == t)).alias("n")))
+    return cut_lineage(quantiles.select("__b", own.alias("__own")).select("__b", cuts.alias("__cuts")))
+
+
+def _micros() -> Column:
+    return F.unix_micros(F.col("__t").cast("timestamp"))
 
 
 def _shard(merged: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows with their shard, and for every (hot entity, shard) a carry-in row.
+    """Rows with their shard and piece, and for every shard of a hot entity that has events a carry-in row.
 
-    ``bounds`` has one row per hot bucket, at most LOAD_BUCKETS / HOT_FACTOR of them, so it may be
+    Shards 0, 2, 4, ... lie between the bounds, shards 1, 3, 5, ... are the bounds themselves.  ``bounds`` may be
     broadcast whatever the size of the data.
     """
-    second = F.col("__t").cast("timestamp").cast("double")
-    marked = (
-        merged.withColumn("__b", F.pmod("__h", F.lit(LOAD_BUCKETS)).cast("int"))
-        .join(F.broadcast(bounds), "__b", "left")
-        .withColumn(
-            "__s",
-            F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(
-                F.size(F.filter("__bounds", lambda x: x < second))
-            ),
-        )
+    marked = merged.withColumn("__b", F.pmod("__h", F.lit(LOAD_BUCKETS)).cast("int")).join(F.broadcast(bounds), "__b", "left")
+    marked = marked.withColumn("__m", _micros())
+    on = F.get(F.filter("__cuts", lambda c: c["t"] == F.col("__m")), 0)["n"]
+    below = F.size(F.filter("__cuts", lambda c: c["t"] < F.col("__m")))
+    marked = marked.withColumn("__n", on).withColumn(
+        "__s", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(2 * below + F.col("__n").isNotNull().cast("int"))
     )
-    rows = marked.drop("__b", "__bounds")
+    hot, instant = F.col("__cuts").isNotNull(), F.col("__n").isNotNull()
+    dealt = F.when(F.col("__n") > 1, F.pmod(F.xxhash64("__e"), F.col("__n"))).otherwise(F.lit(0)).cast("int")
+    # the versions of an instant reach its events in the carry-in row
+    rows = marked.where(~(instant & (F.col("__o") == 0))).withColumn("__p", dealt).drop("__b", "__cuts", "__m", "__n")
     summary = (
-        marked.where(F.col("__bounds").isNotNull())
+        marked.where(hot)
         .groupBy("__h", "__k", "__s")
-        .agg(F.max("__v").alias("__v"), F.min("__t").alias("__t"))
+        .agg(F.max("__v").alias("__v"), F.min("__t").alias("__t"), F.max("__o").alias("__asked"), F.max(F.coalesce("__n", F.lit(1))).alias("__n"))
     )
-    before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("__k").orderBy("__s")
+    before, up_to = so_far.rowsBetween(Window.unboundedPreceding, -1), so_far.rowsBetween(Window.unboundedPreceding, 0)
     carry = (
-        summary.withColumn("__v", F.max("__v").over(before))
-        .where(F.col("__v").isNotNull())
+        summary.withColumn("__v", F.when(F.col("__s") % 2 == 1, F.max("__v").over(up_to)).otherwise(F.max("__v").over(before)))
+        .where(F.col("__v").isNotNull() & (F.col("__asked") == 1))
+        .withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
         .withColumn("__o", F.lit(-1))
         .withColumn("__e", F.lit(None).cast(merged.schema["__e"].dataType))
     )
@@ -193,21 +206,6 @@ def known_attributes(
         "event_id",
         "at",
     )
-    allowed = _allowed_columns(dictionary)
-    names = F.array(*[F.lit(c) for c in allowed]) if allowed else F.array().cast("array<string>")
-    by_project = (
-        approvals.where("projectid is not null and boardapprovaldate is not null")
-        .select("projectid", F.col("boardapprovaldate").cast("timestamp_ntz").alias("at"))
-        .dropDuplicates()
-        .select(
-            F.explode(names).alias("attribute"),
-            F.col("projectid").alias("entity"),
-            F.col("projectid").alias("event_id"),
-            "at",
-        )
-    )
-    events = by_vehicle.unionByName(by_award).unionByName(by_project)
-
     def version(frame, attribute, entity, valid, recorded, ident, value):
         return frame.select(
             attribute.alias("attribute"),
@@ -236,19 +234,28 @@ def known_attributes(
         "action_id",
         F.col("potential_total_value_of_award"),
     )
-    canonical = F.lit(None).cast("string")
-    written = F.lower(F.trim("column_name"))
-    for name in allowed:
-        canonical = F.when(written == name.strip().lower(), F.lit(name)).otherwise(canonical)
+    # the names as the dictionary has them, one version per name that is written alike
+    named = dictionary.where("known_at_board_approval and column_name is not null").select(F.col("column_name").alias("canonical")).distinct()
+    named = named.withColumn("written", F.lower(F.trim("canonical")))
+    told = attributes.where("value_text is not null and projectid is not null").withColumn("written", F.lower(F.trim("column_name")))
     projects = version(
-        attributes.where("value_text is not null"),
-        canonical,
+        told.join(named, "written"),
+        F.col("canonical"),
         F.col("projectid"),
         F.col("valid_from"),
         F.col("recorded_on"),
         "version_id",
         F.col("value_text"),
     )
+    # an approval asks for those attributes only of which its project has a version
+    kept_of = projects.select("attribute", "entity").distinct()
+    approved = (
+        approvals.where("projectid is not null and boardapprovaldate is not null")
+        .select(F.col("projectid").alias("entity"), F.col("boardapprovaldate").cast("timestamp_ntz").alias("at"))
+        .dropDuplicates()
+    )
+    by_project = approved.join(kept_of, "entity").select("attribute", "entity", F.col("entity").alias("event_id"), "at")
+    events = by_vehicle.unionByName(by_award).unionByName(by_project)
     versions = (
         gaps.unionByName(awards)
         .unionByName(projects)
@@ -269,10 +276,3 @@ def known_attributes(
         "attribute", "event_id", F.col("version.version_id").alias("version_id"), *values
     )
 
-
-def _allowed_columns(dictionary: DataFrame, most: int = 2000) -> list[str]:
-    """Names in the fixed dictionary that are known at board approval; refuses a table that isn't small."""
-    rows = dictionary.where("known_at_board_approval").select("column_name").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the attribute dictionary has more than {most} names; it must be a fixed list")
-    return sorted(r[0] for r in rows if r[0] is not None)

@@ -46,6 +46,19 @@ def test_empty_tables(spark, hot):
     assert run(spark, [("a", DAY, 1), (None, DAY, 2)], [], **hot) == [(1, None), (2, None)]
 
 
+@pytest.mark.parametrize("spread", [1, 2, 30])
+def test_a_third_of_all_rows_under_one_key_at_one_instant(spark, spread):
+    """Hot by load alone: an instant that takes several pieces is dealt by event, each piece with the same carry-in."""
+    rng = random.Random(spread)
+    versions = [("hot", DAY, DAY + dt.timedelta(hours=rng.randrange(spread)), i, "x") for i in range(1500)] + [(f"k{i % 700}", DAY, DAY, i, "x") for i in range(3000)]
+    events = [("hot", DAY + dt.timedelta(hours=rng.randrange(spread)), i) for i in range(2500)] + [(f"k{i % 900}", DAY, 5000 + i) for i in range(4000)]
+    assert run(spark, events, versions) == brute(events, versions)
+    left = spark.createDataFrame(events, "k string, t timestamp_ntz, e int")
+    right = spark.createDataFrame(versions, "k string, valid timestamp_ntz, rec timestamp_ntz, id int, e string")
+    plan = as_of_latest(left, right, key=["k"], event_time="t", rank=["valid", "rec", "id"], keep=[], available_at=F.greatest("valid", "rec"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("Window") == 2
+
+
 def test_boundary_is_inclusive_and_later_recordings_are_unseen(spark):
     versions = [("a", DAY, DAY, 1, "x"), ("a", DAY, DAY + dt.timedelta(days=2), 2, "y")]
     events = [("a", DAY, 1), ("a", DAY + dt.timedelta(days=1), 2), ("a", DAY + dt.timedelta(days=2), 3)]
