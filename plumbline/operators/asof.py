@@ -17,9 +17,9 @@ from ..session import cut_lineage
 #: Timeline buckets that are counted to find hot entities; the count is a table of this many rows.
 LOAD_BUCKETS = 4096
 #: A bucket is hot, and is cut into pieces of that size, when it holds this many times the mean load.
-HOT_FACTOR = 8.0
+HOT_FACTOR = 2.0
 #: Fewer rows than this are never cut: a piece costs more than it spares.
-MIN_HOT_ROWS = 1_000
+MIN_HOT_ROWS = 256
 
 
 def as_of_latest(

@@ -37,9 +37,7 @@ def claim_order(kind: str = "source_kind", published: str = "published_at", row:
     """
     place = F.when(F.col(kind) == "final", 0).when(F.col(kind) == "draft", 1).otherwise(2)
     at = F.unix_micros(F.col(published).cast("timestamp"))
-    return F.struct(
-        place.alias("kind"), F.coalesce(-at, F.lit(2**62)).alias("published"), F.col(row).alias("row")
-    )
+    return F.named_struct(F.lit("kind"), place, F.lit("published"), F.coalesce(-at, F.lit(2**62)), F.lit("row"), F.col(row))
 
 
 def cut_names(names: DataFrame, entity: str, name: str) -> DataFrame:
