@@ -1,69 +1,66 @@
 """Abusive, hateful or sexual content: a score per document, for texts in several languages.
 
-Every sentence gets dense features: densities of lexicons, how near they stand to persons, capitals,
-punctuation and disguises, and the weight of its words among labelled documents.  Gradient-boosted trees
-start from a fixed margin over the lexicons and learn the rest from labels; isotonic regression on scores
-from held-out folds turns margins into probabilities.
+Every sentence gets dense features: densities of lexicons, how near their words stand to words for persons and
+groups, disguises, capitals and punctuation.  One of the lexicons is induced from labelled documents: how much
+each of their words leans to abusive sentences or away from them.  Gradient-boosted trees start from a fixed margin
+over the lexicons and learn the rest from labels; isotonic regression on scores of held-out folds turns margins
+into probabilities.  The same steps are taken at every size: leaves and lexicon weights are shrunk by how much
+was seen, and the calibration starts from a few observations of the logistic curve.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Most labelled documents that a model is fitted on (the least by a seeded hash of their ids).
 SAMPLE = 40_000
-#: Most words that keep a weight.
-WORDS = 40_000
 #: From this probability on a document counts as found.
 THRESHOLD = 0.5
-#: Fewest labelled documents of each kind for which anything is learned beyond the fixed margin.
-LEAST = 12
 TREES, DEPTH, RATE, BINS, FOLDS = 60, 3, 0.15, 32, 4
 
 # Word lists by category, in English, French, German, Spanish and Ukrainian.
 INSULTS = """
 idiot idiots moron morons cretin cretins imbecile imbeciles halfwit halfwits scumbag scumbags bastard bastards bitch bitches arsehole
-arseholes asshole assholes dipshit dipshits shithead fool fools stupid brainless gutless spineless worthless pathetic filthy stinking
-twofaced faced twat wanker prick dickhead slut whore coward loser scum swine fuck fucking fucker shit cunt disgusting
-ordure ordures cretin connard connards salope trainee lache imbecile gueule pourrie putain abruti pauvre encule
-arschloch versager schlampe vollidiot dreck fresse sau elender widerliche widerlicher hure wichser drecksau idiot
-imbecil basura cerdo asqueroso inutil perra puta idiota gilipollas cabron callate zorra
-ідіот нікчема свиня тупа тупий пельку тварюка покидьок шльондра жалюгідний сука дурень мерзота продажна
+arseholes asshole assholes dipshit dipshits shithead fool fools stupid brainless gutless spineless worthless pathetic filthy
+twofaced twat wanker prick dickhead slut whore coward loser scum swine fuck fucking fucker shit cunt disgusting
+ordure ordures cretin connard connards salope imbecile gueule putain abruti encule
+arschloch versager schlampe vollidiot fresse sau widerliche widerlicher hure wichser drecksau
+imbecil basura cerdo asqueroso inutil puta gilipollas cabron zorra
+ідіот нікчема свиня тупа тупий тварюка покидьок шльондра жалюгідний сука дурень мерзота
 """.split()
 THREATS = """
-choke kill dead die dies bullet rope hang burn burned fire fingers kids throat bury beat crawl walk address sleeping lights dropped
-crever crevent creve habites attention tuer wohnst davon umbringen mueras vives matar andando здохни втечеш живеш вбити
-mouth hell river throw spanner
+choke kill dead die dies bullet rope hang burn throat bury beat crawl strangle stab shoot hell
+crever crevent creve tuer egorger umbringen toten erwurgen mueras matar ahorcar здохни вбити
 """.split()
 DEHUMAN = """
-rat rats vermin parasite parasites cockroach cockroaches monkey monkeys animals breed filth subhuman dogs fence clean scum rock
-ungeziefer ratten pack weggesperrt jagt vermine chasse ratas parasitos patadas echarlos encerrarlos щурів щури гнати палицями женіть
-гірші паразити звірі
+rat rats vermin parasite parasites cockroach cockroaches monkey monkeys animals filth subhuman dogs scum
+ungeziefer ratten vermine ratas parasitos patadas щурів щури звірі паразити
 """.split()
 GROUPS = """
-immigrants immigrant foreigners foreigner cripples cripple women woman gays jews muslims blacks gypsies refugees migrants people folk
-families them they etrangers etranger gens ils fremden fremde auslander sie gente fuera extranjeros todos приїжджих приїжджі люди вони
-їх чужинці
+immigrants immigrant foreigners foreigner cripples cripple women woman gays jews muslims blacks gypsies refugees migrants people
+families them they etrangers etranger gens ils fremden fremde auslander sie gente extranjeros приїжджих приїжджі люди вони їх чужинці
 """.split()
 SEXUAL = """
-sex tits cock naked nude skirt underwear moaning moan knees stripped bent porn suck breasts boobs pussy dick rape bed room tonight
-pictures couchant couche knien nackt piernas desnuda abriendose cama ліжко гола hands
+sex tits cock naked nude underwear moaning moan stripped porn suck breasts boobs pussy dick rape
+nackt desnuda гола
 """.split()
 SECOND = """
 you your yours yourself u ur tu te ta toi ton tes vous votre du dich dir dein deine euer ihr dein eres tus vuestro usted ти тебе тобі
 твій твоя ваш ваша ви
 """.split()
 PERSONS = """
-i me my he him his she her hers who everybody nobody somebody man woman director manager reviewer evaluator auditor clerk consultant
-elle il lui qui jemand er ihm ihrer el ella nadie quien він вона директор gutachter despacho bureau
+i me my he him his she her hers who everybody nobody somebody man woman
+elle il lui qui jemand er ihm ihrer el ella nadie quien він вона
 """.split()
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјкмтвнѕԁԛԝ", "aeopcyxijkmtbhsdqw", strict=True))
@@ -109,12 +106,16 @@ _BITS: dict[str, int] = {}
 for _k, _list in enumerate(_LISTS):
     for _w in _list:
         _BITS[_w] = _BITS.get(_w, 0) | (1 << _k)
-#: Features of a sentence: counts by list, products of lists, disguises, and the words' weights.
+#: Features of a sentence: words by lexicon, how near they stand to persons and groups, disguises, the induced lexicon.
 NAMES = (
-    "insults", "threats", "dehuman", "groups", "sexual", "second", "persons", "insult_second", "threat_second", "dehuman_group",
-    "sexual_person", "insult_person", "disguised", "disguised_insults", "weight_mean", "weight_sum", "heavy_words", "heavy_share",
+    "insults", "threats", "dehuman", "groups", "sexual", "second", "persons", "insult_near_second", "threat_near_second", "dehuman_near_group",
+    "sexual_near_person", "insult_near_person", "disguised", "disguised_insults", "leaning_density", "leaning_sum", "heavy_words", "heavy_share",
 )
+#: Pairs of lexicons whose distance is a feature; each side is a sum of bits.
+NEAR = ((1, 32), (2, 32), (4, 8), (16, 96), (1, 64))
 DOCUMENT_NAMES = (*NAMES, "margin", "exclamations", "capitals", "words_log", "insult_density")
+AT_MARGIN = DOCUMENT_NAMES.index("margin")
+_UPPER = re.compile("[A-ZÀ-ÖØ-ÞЀ-Я]+")
 
 
 class Words:
@@ -162,94 +163,93 @@ class Words:
         return out
 
 
-def sentence_features(words: list[str], odd: int, weights: dict[str, float]) -> list[float]:
-    counts = [0] * 7
-    odd_insult = 0
-    for w in words:
-        bits = _BITS.get(w, 0)
-        while bits:
-            low = bits & -bits
-            counts[low.bit_length() - 1] += 1
-            bits ^= low
-    insults, threats, dehuman, groups, sexual, second, persons = counts
-    odd_insult = min(odd, 1) * insults
-    total = heavy = 0.0
-    for w in set(words):
-        v = weights.get(w, 0.0)
-        total += v
-        heavy += v > 2.0
-    n = len(words)
-    return [
-        insults, threats, dehuman, groups, sexual, second, persons, min(insults, 3) * min(second, 2), min(threats, 3) * min(second, 2),
-        min(dehuman, 3) * min(groups, 2), min(sexual, 3) * min(persons + second, 3), min(insults, 3) * min(persons, 2), odd, odd_insult,
-        total / (n + 2), total, heavy, heavy / (n + 2),
-    ]
-
-
-def fixed_margin(f: list[float]) -> float:
-    """What the lexicons alone say of a sentence, in log odds."""
+def _nearness(bits: np.ndarray, sentence: np.ndarray, which: int, other: int) -> np.ndarray:
+    """Per word of ``which`` 1 / (1 + words to the nearest word of ``other`` in its sentence), else 0."""
+    n = len(bits)
+    mine, theirs = (bits & which) > 0, (bits & other) > 0
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(theirs, place, -1))
+    after = np.minimum.accumulate(np.where(theirs, place, n)[::-1])[::-1]
+    same_before = (before >= 0) & (sentence[np.maximum(before, 0)] == sentence)
+    same_after = (after < n) & (sentence[np.minimum(after, n - 1)] == sentence)
+    gap = np.minimum(np.where(same_before, place - before, n), np.where(same_after, after - place, n))
+    return np.where(mine & (gap < n), 1.0 / (1.0 + gap), 0.0)
+
+
+def sentence_matrix(sentences: list[tuple[list[str], int]], lexicon: dict[str, float]) -> np.ndarray:
+    """A row of NAMES per sentence, worked out for all words of all sentences at once."""
+    count = len(sentences)
+    if not count:
+        return np.zeros((0, len(NAMES)))
+    sizes = np.fromiter((len(w) for w, _ in sentences), np.int64, count)
+    odd = np.fromiter((o for _, o in sentences), np.float64, count)
+    number: dict[str, int] = {}
+    words = np.fromiter((number.setdefault(w, len(number)) for ws, _ in sentences for w in ws), np.int64, int(sizes.sum()))
+    bits = np.fromiter((_BITS.get(w, 0) for w in number), np.int64, len(number))[words]
+    weight = np.fromiter((lexicon.get(w, 0.0) for w in number), np.float64, len(number))
+    sentence = np.repeat(np.arange(count), sizes)
+
+    def total(values):
+        return np.bincount(sentence, values, count)
+
+    lists = [total((bits >> k) & 1) for k in range(7)]
+    near = [np.minimum(total(_nearness(bits, sentence, which, other)), 2.0) for which, other in NEAR]
+    once = np.unique(sentence * len(number) + words)
+    where, weights = once // len(number), weight[once % len(number)]
+    leaning = np.bincount(where, weights, count)
+    heavy = np.bincount(where, weights > 2.0, count)
+    return np.column_stack([*lists, *near, odd, np.minimum(odd, 1) * lists[0], leaning / (sizes + 2), leaning, heavy, heavy / (sizes + 2)])
+
+
+def fixed_margin(x: np.ndarray) -> np.ndarray:
+    """What the lexicons alone say of sentences, in log odds."""
+    insults, second, persons, groups = x[:, 0], np.minimum(x[:, 5], 2), np.minimum(x[:, 6], 2), np.minimum(x[:, 3], 2)
     return (
         -4.0
-        + 2.2 * min(f[0], 2)
-        + 1.3 * min(f[7], 2)
-        + 1.0 * min(f[8], 3)
-        + 1.5 * min(f[9], 3)
-        + 1.1 * min(f[10], 4)
-        + 1.0 * min(f[11], 2)
-        + 1.5 * min(f[13], 1)
+        + 2.2 * np.minimum(insults, 2)
+        + 1.3 * np.minimum(np.minimum(insults, 3) * second, 2)
+        + 1.0 * np.minimum(np.minimum(x[:, 1], 3) * second, 3)
+        + 1.5 * np.minimum(np.minimum(x[:, 2], 3) * groups, 3)
+        + 1.1 * np.minimum(np.minimum(x[:, 4], 3) * np.minimum(x[:, 5] + x[:, 6], 3), 4)
+        + 1.0 * np.minimum(np.minimum(insults, 3) * persons, 2)
+        + 1.5 * np.minimum(x[:, 13], 1)
     )
 
 
-def document_features(sentences, text: str, weights: dict[str, float]) -> list[float]:
-    """Features of a document: of each sentence feature the greatest, and densities over the whole text."""
-    rows = [sentence_features(w, odd, weights) for w, odd in sentences]
-    n = sum(len(w) for w, _ in sentences)
-    top = [max(column) for column in zip(*rows, strict=True)] if rows else [0.0] * len(NAMES)
-    margin = max(map(fixed_margin, rows), default=-6.0)
-    letters = sum(map(str.isupper, text))
-    return [*top, margin, text.count("!") / (n + 5), letters / (len(text) + 1), np.log1p(n), sum(r[0] for r in rows) / (n + 5)]
+def text_numbers(text: str) -> tuple[int, int, int]:
+    """(exclamation marks, capitals, characters) of a text."""
+    return text.count("!"), sum(map(len, _UPPER.findall(text))), len(text)
 
 
-def word_weights(documents: list[list[tuple[list[str], int]]], labels: np.ndarray, most: int = WORDS) -> dict[str, float]:
-    """Log odds of words between sentences of abusive and of other documents.
+def document_matrix(documents: list[list[tuple[list[str], int]]], numbers: list[tuple[int, int, int]], lexicon: dict[str, float]) -> np.ndarray:
+    """A row of DOCUMENT_NAMES per document: of each sentence feature the greatest, and densities over the whole text."""
+    out = np.zeros((len(documents), len(DOCUMENT_NAMES)))
+    if not len(documents):
+        return out
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+    flat = [s for d in documents for s in d]
+    rows = sentence_matrix(flat, lexicon)
+    filled = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    margin = np.full(len(documents), -6.0)
+    n = np.zeros(len(documents))
+    insults = np.zeros(len(documents))
+    if len(filled):
+        out[filled, : len(NAMES)] = np.maximum.reduceat(rows, starts, axis=0)
+        margin[filled] = np.maximum.reduceat(fixed_margin(rows), starts)
+        n[filled] = np.add.reduceat(np.fromiter((len(w) for w, _ in flat), np.float64, len(flat)), starts)
+        insults[filled] = np.add.reduceat(rows[:, 0], starts)
+    marks, capitals, length = np.array(numbers, float).T
+    out[:, len(NAMES) :] = np.column_stack([margin, marks / (n + 5), capitals / (length + 1), np.log1p(n), insults / (n + 5)])
+    return out
 
-    First every sentence of an abusive document counts; then, twice, only its heaviest one, and none where
-    nothing in the document speaks for abuse, since raters err.  Words of fewer than three sentences have
-    no weight.
-    """
-    negative: Counter = Counter()
-    n_neg = 1.0
-    for sentences, y in zip(documents, labels, strict=True):
-        if y <= 0.5:
-            for words, _ in sentences:
-                negative.update(set(words))
-            n_neg += len(sentences)
-    weights: dict[str, float] = {}
-    for round_ in range(3):
-        positive: Counter = Counter()
-        n_pos = 1.0
-        for sentences, y in zip(documents, labels, strict=True):
-            if y <= 0.5 or not sentences:
-                continue
-            if round_:
-                ratios = [sum(weights.get(w, 0.0) for w in set(words)) for words, _ in sentences]
-                top = max(ratios)
-                if top < 2.0:
-                    continue
-                sentences = [sentences[ratios.index(top)]]
-            for words, _ in sentences:
-                positive.update(set(words))
-            n_pos += len(sentences)
-        weights = {}
-        for w in positive.keys() | negative.keys():
-            a, b = positive[w], negative[w]
-            if a + b >= 3:
-                v = float(np.log((a + 0.3) / (n_pos + 1)) - np.log((b + 0.3) / (n_neg + 1)))
-                weights[w] = max(-2.0, min(5.0, v))
-        if len(weights) > most:
-            keep = sorted(weights, key=lambda w: (-abs(weights[w]), w))[:most]
-            weights = {w: weights[w] for w in keep}
-    return weights
+
+def document_features(sentences, text: str, lexicon: dict[str, float]) -> list[float]:
+    return document_matrix([sentences], [text_numbers(text)], lexicon)[0].tolist()
+
+
+def sentence_features(words: list[str], odd: int, lexicon: dict[str, float]) -> list[float]:
+    return sentence_matrix([(words, odd)], lexicon)[0].tolist()
 
 
 class Trees:
@@ -319,14 +319,15 @@ class Trees:
         return out
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit (pool adjacent violators on tied means)."""
+    w = np.ones(len(x)) if w is None else w
     knots, where = np.unique(x, return_inverse=True)
-    weight = np.bincount(where).astype(float)
-    mean = np.bincount(where, y) / weight
+    weight = np.bincount(where, w)
+    mean = np.bincount(where, w * y) / weight
     blocks: list[list[float]] = []
-    for k, (m, w) in enumerate(zip(mean, weight, strict=True)):
-        blocks.append([m, w, k, k])
+    for k, (m, v) in enumerate(zip(mean, weight, strict=True)):
+        blocks.append([m, v, k, k])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m2, w2, _, hi = blocks.pop()
             m1, w1, lo, _ = blocks.pop()
@@ -336,70 +337,155 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-class Model:
-    """Word weights, trees and calibration; without enough labels only the fixed margin."""
+#: Margins at which the calibration starts with an observation of the logistic curve each.
+CURVE = np.arange(-6.0, 6.5, 0.5)
 
-    def __init__(self, weights=None, trees=None, knots=None):
-        self.weights, self.trees, self.knots = weights or {}, trees, knots
 
-    @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, raters: np.ndarray) -> Model:
-        if min((labels > 0.5).sum(), (labels <= 0.5).sum()) < LEAST:
-            return cls()
-        words = Words()
-        documents = [words.sentences(t) for t in texts]
-        fold = np.arange(len(texts)) % FOLDS
-        x = np.zeros((len(texts), len(DOCUMENT_NAMES)))
-        for k in range(FOLDS):
-            other = np.flatnonzero(fold != k)
-            weights = word_weights([documents[i] for i in other], labels[other])
-            for i in np.flatnonzero(fold == k):
-                x[i] = document_features(documents[i], texts[i], weights)
-        margin = x[:, NAMES_AT_MARGIN]
-        weight = np.sqrt(raters)
-        held_out = np.zeros(len(texts))
-        for k in range(FOLDS):
-            inside = fold != k
-            held_out[~inside] = Trees().fit(x[inside], labels[inside], margin[inside], weight[inside]).margin(x[~inside], margin[~inside])
-        knots = isotonic(held_out, labels) if (labels > 0.5).sum() >= 5 * LEAST else None
-        return cls(word_weights(documents, labels), Trees().fit(x, labels, margin, weight), knots)
+def calibration(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic knots from held-out margins and their labels, and one observation of the logistic curve per step."""
+    return isotonic(np.r_[margin, CURVE], np.r_[y, 1 / (1 + np.exp(-CURVE))])
+
+
+class Model:
+    """Induced lexicon, trees and calibration; as made without labels, what the fixed lexicons say."""
+
+    def __init__(self, lexicon=None, trees=None, knots=None):
+        self.lexicon, self.trees, self.knots = lexicon or {}, trees, knots or calibration(np.zeros(0), np.zeros(0))
 
     def score(self, texts: list[str | None], words: Words) -> np.ndarray:
         out = np.zeros(len(texts))
         filled = [i for i, t in enumerate(texts) if t and not t.isspace()]
         if not filled:
             return out
-        x = np.array([document_features(words.sentences(texts[i]), texts[i], self.weights) for i in filled])
-        margin = x[:, NAMES_AT_MARGIN]
+        x = document_matrix([words.sentences(texts[i]) for i in filled], [text_numbers(texts[i]) for i in filled], self.lexicon)
+        margin = x[:, AT_MARGIN]
         if self.trees is not None:
             margin = self.trees.margin(x, margin)
-        if self.knots is not None:
-            out[filled] = np.interp(margin, *self.knots)
-        else:
-            out[filled] = 1 / (1 + np.exp(-margin))
+        out[filled] = np.interp(margin, *self.knots)
         return out
 
 
-NAMES_AT_MARGIN = DOCUMENT_NAMES.index("margin")
+_PARSED = "doc_id bigint, fold int, label double, raters double, sentences array<struct<words:array<string>,odd:int>>, marks int, capitals int, length int"
 
 
-def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """A model from labelled documents, at most ``sample`` of them, chosen by a seeded hash of their ids.
+def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = Words()
+    for frame in frames:
+        found = [words.sentences(t) for t in frame["text"]]
+        numbers = np.array([text_numbers(t) for t in frame["text"]], int).reshape(-1, 3)
+        yield pd.DataFrame(
+            {
+                "doc_id": frame["doc_id"], "fold": frame["fold"], "label": frame["label"], "raters": frame["raters"],
+                "sentences": [[{"words": w, "odd": o} for w, o in s] for s in found], "marks": numbers[:, 0], "capitals": numbers[:, 1], "length": numbers[:, 2],
+            }
+        )
 
-    A document's label is the mean over its raters, each counted once per document.
-    """
+
+def labelled_documents(documents: DataFrame, labels: DataFrame, sample: int, seed: int) -> DataFrame:
+    """Labelled documents as sentences of plain words, at most ``sample`` of them; see ``fit_model``."""
     rated = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id", "rater")
         .agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
         .groupBy("doc_id")
-        .agg(F.avg("toxic").alias("label"), F.count("*").alias("raters"))
+        .agg(F.avg("toxic").alias("label"), F.count("*").cast("double").alias("raters"))
     )
-    chosen = rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    rows = (
-        documents.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").toPandas()
+    order = F.xxhash64("doc_id", F.lit(seed))
+    chosen = rated.orderBy(order, "doc_id").limit(sample).withColumn("fold", F.pmod(order, F.lit(FOLDS)).cast("int"))
+    texts = documents.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id")
+    return cut_lineage(texts.mapInPandas(_parse, _PARSED))
+
+
+def _leanings(a: Column, b: Column, n_pos: list[float], n_neg: list[float]) -> Column:
+    """Log odds of a word per fold left out and, last, with none left out; nearer to 0 the less it was seen."""
+    out = []
+    for k in range(FOLDS + 1):
+        x, y = F.get(a, k), F.get(b, k)
+        odds = F.log((x + 0.3) / (n_pos[k] + 1)) - F.log((y + 0.3) / (n_neg[k] + 1))
+        out.append(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), odds)) * (x + y) / (x + y + 1))
+    return F.array(*out)
+
+
+def _left_out(fold: Column, condition: Column) -> Column:
+    """Sums over rows, per fold left out and, last, with none left out."""
+    return F.array(*[F.sum(F.when(condition & (fold != k), 1.0).otherwise(0.0)) for k in range(FOLDS + 1)])
+
+
+def induced_lexicon(parsed: DataFrame) -> DataFrame:
+    """(word, leaning): log odds between the sentences of abusive and of other documents, per fold left out.
+
+    First every sentence of an abusive document counts; then, twice, only its heaviest one, and none where
+    nothing in the document speaks for abuse, since raters err.
+    """
+    each = parsed.select("doc_id", "fold", (F.col("label") > 0.5).alias("bad"), F.posexplode("sentences").alias("no", "s"))
+    total = each.agg(_left_out(F.col("fold"), F.col("bad")).alias("p"), _left_out(F.col("fold"), ~F.col("bad")).alias("n")).first()
+    n_neg = [float(v or 0) for v in total["n"]]
+    n_pos = [float(v or 0) for v in total["p"]]
+    worded = each.select("doc_id", "fold", "bad", "no", F.explode(F.array_distinct("s.words")).alias("word"))
+    counts = cut_lineage(
+        worded.groupBy("word").agg(_left_out(F.col("fold"), F.col("bad")).alias("a"), _left_out(F.col("fold"), ~F.col("bad")).alias("b"))
     )
-    return Model.fit(rows["text"].tolist(), rows["label"].to_numpy(float), rows["raters"].to_numpy(float))
+    abusive = cut_lineage(worded.where("bad").select("doc_id", "fold", "no", "word"))
+    nothing = F.array(*[F.lit(0.0)] * (FOLDS + 1))
+    known = counts
+    for _ in range(2):
+        leaning = known.select("word", _leanings(F.col("a"), F.col("b"), n_pos, n_neg).alias("v"))
+        weighed = abusive.join(leaning, "word").groupBy("doc_id", "fold", "no").agg(*[F.sum(F.get("v", k)).alias(f"v{k}") for k in range(FOLDS + 1)])
+        heaviest = weighed.groupBy("doc_id", "fold").agg(
+            *[F.max(F.when(F.col(f"v{k}") >= 2.0, F.struct(F.col(f"v{k}").alias("v"), (-F.col("no")).alias("no")))).alias(f"m{k}") for k in range(FOLDS + 1)]
+        )
+        picks = F.array_compact(F.array(*[F.when(F.col(f"m{k}").isNotNull() & (F.col("fold") != k), F.struct((-F.col(f"m{k}.no")).alias("no"), F.lit(k).alias("k"))) for k in range(FOLDS + 1)]))
+        picked = cut_lineage(heaviest.select("doc_id", F.inline(picks)))
+        seen = {r["k"]: float(r["n"]) for r in picked.groupBy("k").agg(F.count("*").alias("n")).collect()}
+        n_pos = [seen.get(k, 0.0) for k in range(FOLDS + 1)]
+        renewed = abusive.join(picked, ["doc_id", "no"]).groupBy("word").agg(F.array(*[F.count_if(F.col("k") == k).cast("double") for k in range(FOLDS + 1)]).alias("a"))
+        known = cut_lineage(counts.drop("a").join(renewed, "word", "left").withColumn("a", F.coalesce("a", nothing)))
+    return known.select("word", _leanings(F.col("a"), F.col("b"), n_pos, n_neg).alias("leaning"))
+
+
+def _feature_frame(shipped, folds: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicons = [{w: v[k] for w, v in shipped.value} for k in range(folds)]
+        for frame in frames:
+            frame = frame.reset_index(drop=True)
+            for k, part in frame.groupby("fold"):
+                documents = [[(list(s["words"]), s["odd"]) for s in d] for d in part["sentences"]]
+                x = document_matrix(documents, list(zip(part["marks"], part["capitals"], part["length"], strict=True)), lexicons[int(k)])
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fold": part["fold"].to_numpy(), "label": part["label"].to_numpy(), "raters": part["raters"].to_numpy(), "x": list(x)})
+
+    return run
+
+
+def _fit_trees(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("doc_id")
+    x, y, w = np.stack(frame["x"].to_numpy()), frame["label"].to_numpy(float), np.sqrt(frame["raters"].to_numpy(float))
+    return pd.DataFrame({"k": [int(frame["k"].iloc[0])], "trees": [pickle.dumps(Trees().fit(x, y, x[:, AT_MARGIN], w))]})
+
+
+def fit_model(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
+    """A model from labelled documents, at most ``sample`` of them, chosen by a seeded hash of their ids.
+
+    A document's label is the mean over its raters, each counted once per document.  Texts are read and words
+    counted in the cluster, and the trees of each fold are fitted in a task of their own; the driver gets one row of
+    numbers per labelled document, the induced lexicon, which holds words of the sample only, and the trees.
+    Without labels the model is what the fixed lexicons say.
+    """
+    parsed = labelled_documents(documents, labels, sample, seed)
+    lexicon = [(r["word"], list(r["leaning"])) for r in induced_lexicon(parsed).collect()]
+    shipped = documents.sparkSession.sparkContext.broadcast(lexicon)
+    features = cut_lineage(parsed.mapInPandas(_feature_frame(shipped, FOLDS), "doc_id bigint, fold int, label double, raters double, x array<double>"))
+    whole = features.toPandas().sort_values("doc_id")
+    if not len(whole):
+        return Model()
+    left_out = features.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).where("k <> fold")
+    trees = {r["k"]: pickle.loads(r["trees"]) for r in left_out.groupBy("k").applyInPandas(_fit_trees, "k int, trees binary").collect()}
+    x, fold = np.stack(whole["x"].to_numpy()), whole["fold"].to_numpy()
+    held_out = x[:, AT_MARGIN].copy()
+    for k in range(FOLDS):
+        inside = fold == k
+        if k in trees and inside.any():
+            held_out[inside] = trees[k].margin(x[inside], x[inside, AT_MARGIN])
+    return Model({w: v[FOLDS] for w, v in lexicon}, trees[FOLDS], calibration(held_out, whole["label"].to_numpy(float)))
 
 
 def score_documents(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -409,7 +495,7 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text") -> D
     A column ``score`` that is there already is replaced.
     """
     kept = [c for c in documents.columns if c not in (text, "score")]
-    shipped = documents.sparkSession.sparkContext.broadcast(model)  # at most WORDS weights and TREES trees
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # words of the labelled sample and TREES trees
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()

@@ -17,10 +17,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import CUT_MARKS, is_filler
+from ..functions.values import CUT_MARKS, NUMBER_WORDS, is_filler
 from ..operators.link import connected_components
 from ..session import cut_lineage
 
+
+def roman(number: int) -> str:
+    """A number below 40 as a lower-case roman numeral."""
+    out = "x" * (number // 10)
+    for value, sign in ((9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while number % 10 >= value:
+            out, number = out + sign, number - value
+    return out
+
+
 #: Words for what a name names, with short forms; they tell little and come first in no comparison.
 KIND_WORDS = {
     "project": "p", "proj": "p", "prj": "p", "prjct": "p", "programme": "p", "program": "p", "prog": "p", "pgm": "p", "prgm": "p",
@@ -29,7 +39,8 @@ KIND_WORDS = {
 LONG_KINDS = ("project", "programme", "scheme", "delivery", "upgrade")
 KIND_INITIALS = ("", "p", "s", "dp", "up")
 STOP_WORDS = ("for", "at", "the", "of", "and", "in", "a")
-COUNTS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5}
+#: Numbers of phases as words and as roman numerals.
+COUNTS = {word: i for i, word in enumerate(NUMBER_WORDS[:10], 1)} | {roman(i): i for i in range(1, 11)}
 #: Rounds of merging and matching after which an error is raised; two or three are usual, a chain of n entities may take n.
 ROUNDS = 200
 
@@ -78,8 +89,8 @@ def parse_name(name: str) -> tuple[list[str], int | None, bool, bool]:
     while i < len(words):
         word = words[i]
         following = words[i + 1] if i + 1 < len(words) else ""
-        glued = re.fullmatch(r"(?:phase|ph)(\d{1,2}|i{1,3}|iv|v)", word)
-        if glued:
+        glued = re.fullmatch(r"(?:phase|ph)(\d{1,2}|[ivx]{1,4})", word)
+        if glued and (glued[1].isdigit() or glued[1] in COUNTS):
             phase = COUNTS.get(glued[1]) or int(glued[1])
         elif (word == "ph" or near(word, "phase")) and (following in COUNTS or re.fullmatch(r"\d{1,2}", following)):
             phase = COUNTS.get(following) or int(following)
@@ -177,16 +188,19 @@ def link_projects(panel: DataFrame) -> DataFrame:
     matched by two words or by initials, never by place alone.
     """
     known = _certain(cut_lineage(_with_frequencies(spellings(panel))))
+    return _merged(known, _match).select("name", "entity", "pid")
+
+
+def _merged(known: DataFrame, match) -> DataFrame:
+    """``known`` with entities merged as ``match`` says, profile against profile, until it says nothing more."""
     for _ in range(ROUNDS):
-        moves = _match(known)
+        moves = match(known)
         if moves is None:
-            break
+            return known
         known = cut_lineage(
             known.join(moves, "entity", "left").withColumn("entity", F.coalesce("to", "entity")).drop("to")
         )
-    else:
-        raise RuntimeError(f"linking still merges after {ROUNDS} rounds")
-    return known.select("name", "entity", "pid")
+    raise RuntimeError(f"linking still merges after {ROUNDS} rounds")
 
 
 def _with_frequencies(names: DataFrame) -> DataFrame:
@@ -328,20 +342,127 @@ def _match(known: DataFrame) -> DataFrame | None:
     return None if moves.isEmpty() else moves
 
 
-def link_departments(panel: DataFrame) -> DataFrame:
-    """(name, entity) for department: spellings are merged by the body whose publications they stand in.
+#: Words for what a department is, which tell little of which one it is.
+DEPARTMENT_KINDS = ("department", "dept", "dpt", "ministry", "min", "office", "off", "authority", "auth", "agency", "agcy")
+#: A spelling that only its body tells is a nickname, and may go with the body's commonest department, when it has at
+#: most this share of that department's rows.
+NICKNAME_SHARE = 0.25
+
+
+def parse_department(name: str) -> tuple[list[str], list[str]]:
+    """(all words, telling words); bracketed initials of the other words are left out."""
+    text = unicodedata.normalize("NFKC", name).lower().replace("&", " and ").replace("'", "").replace("’", "")
+    words = re.findall(r"[^\W_]+", text)
+    inside = {w for part in re.findall(r"[(\[]([^)\]]*)", text) for w in re.findall(r"[^\W_]+", part)}
+    others = [w for w in words if w not in inside]
+    words = [w for w in words if w not in inside or not spells_initials(w, others)]
+    long_kinds = [k for k in DEPARTMENT_KINDS if len(k) > 4]
+    telling = [w for w in words if w not in STOP_WORDS and w not in DEPARTMENT_KINDS and not any(near(w, k) for k in long_kinds)]
+    return words, telling or words
 
-    A spelling goes with the body that most of its rows have (the least name at a tie); a spelling without any
-    such body is linked to others only by its letters.
+
+def spells_initials(short: str, words: list[str]) -> bool:
+    """Whether a word consists of the first letters of ``words`` in order; those of small words may be left out."""
+    at = {0}
+    for word in words:
+        step = {i + 1 for i in at if i < len(short) and short[i] == word[0]}
+        at = step | at if word in STOP_WORDS else step
+    return len(words) > 1 and len(short) in at
+
+
+def compare_departments(a: dict, b: dict) -> int:
+    """How two spellings of departments agree: 3 by their telling words, 2 by initials, 0 not at all.
+
+    Within one body the words of the shorter may be some of the other's; else all must have a partner, and two
+    words of four letters or more are wanted.
     """
-    body = F.regexp_extract("publication_slug", r"^[a-z]+-([a-z]+)-", 1)
+    ta, tb = list(a["telling"]), list(b["telling"])
+    if len(ta) > len(tb):
+        a, b, ta, tb = b, a, tb, ta
+    same_body = a["body"] is not None and a["body"] == b["body"]
+    if same_body:
+        for short, full in ((a, b), (b, a)):
+            if len(short["words"]) == 1 and spells_initials(short["words"][0], list(full["words"])):
+                return 2
+    long = [w for w in ta if len(w) >= 4]
+    if not long or not _aligned(ta, tb, False):
+        return 0
+    if same_body:
+        return 3
+    return 3 if len(long) >= 2 and _aligned(tb, ta, False) else 0
+
+
+def _parse_departments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        parsed = [parse_department(n) for n in frame["name"]]
+        yield frame.assign(words=[p[0] for p in parsed], telling=[p[1] for p in parsed])
+
+
+def department_spellings(panel: DataFrame) -> DataFrame:
+    """(name, body, n, sid, words, telling): one row per distinct usable spelling of department, with the body in whose
+    publications most of its rows stand (the least at a tie)."""
+    body = F.nullif(F.regexp_extract("publication_slug", r"^[a-z]+-([a-z]+)-", 1), F.lit(""))
     counts = panel.where(~is_filler(F.col("department"))).groupBy(F.col("department").alias("name"), body.alias("body")).agg(F.count("*").alias("n"))
-    most = counts.where("body <> ''").groupBy("name").agg(F.max_by("body", F.struct("n", F.hash("body"))).alias("body"))
-    letters = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", "")
-    names = counts.select("name").distinct().join(most, "name", "left").withColumn("letters", letters)
-    by_letters = names.groupBy("letters").agg(F.min("body").alias("likely"))
-    entity = F.coalesce(F.xxhash64(F.lit("body"), F.coalesce("body", "likely")), F.xxhash64(F.lit("letters"), "letters"))
-    return names.join(by_letters, "letters").select("name", F.when(F.coalesce("body", "likely").isNotNull(), entity).otherwise(F.xxhash64(F.lit("letters"), "letters")).alias("entity"))
+    first = F.when(F.col("body").isNotNull(), F.struct(-F.col("n"), F.col("body")))
+    names = counts.groupBy("name").agg(F.min_by("body", first).alias("body"), F.sum("n").alias("n")).withColumn("sid", F.xxhash64("name"))
+    return names.mapInPandas(_parse_departments, "name string, body string, n bigint, sid bigint, words array<string>, telling array<string>")
+
+
+def link_departments(panel: DataFrame) -> DataFrame:
+    """(name, entity) for every usable spelling of department, by the same merging and matching as of projects.
+
+    Spellings with the same letters, or the same telling words in the same body, are merged first.  Profiles then
+    block by body and the beginning of a telling word, by body and a first letter for initials, and, where a body isn't
+    known, by the beginning alone; what agrees is merged, and matching begins again until nothing moves.  Then a
+    nickname, whose spellings have one telling word and few rows, goes with the commonest department of its body.  Two departments
+    of one body whose words differ stay apart.
+    """
+    known = cut_lineage(department_spellings(panel))
+    letters = F.xxhash64(F.lit("letters"), F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", ""))
+    equal = F.when(F.col("body").isNotNull(), F.xxhash64(F.lit("words"), F.col("body"), F.concat_ws(" ", F.array_sort("telling"))))
+    keys = F.array_compact(F.array(letters, equal, F.col("sid")))
+    joined = connected_components(known.select("sid", F.explode(keys).alias("key")), "sid", "key")
+    known = cut_lineage(known.join(joined, F.col("sid") == F.col("node")).drop("node").withColumnRenamed("component", "entity"))
+    return _merged(known, _match_departments).select("name", "entity")
+
+
+def _match_departments(known: DataFrame) -> DataFrame | None:
+    """(entity, to): where departments that agree move; None when nothing moves."""
+    spelling = F.struct("words", "telling", "body")
+    profile = cut_lineage(
+        known.groupBy("entity").agg(F.collect_set("body").alias("bodies"), F.sum("n").alias("n"), F.collect_set(spelling).alias("spellings"), F.max(F.size("telling")).alias("most"))
+    )
+    heads = F.array_distinct(F.flatten(F.transform("spellings", lambda s: F.transform(s["telling"], lambda w: F.substring(w, 1, 4)))))
+    blocks = F.when(F.size("bodies") > 0, F.col("bodies")).otherwise(F.array(F.lit("")))
+    worded = profile.select("entity", F.size("bodies").alias("nb"), F.explode(heads).alias("head"), F.col("bodies")).select("entity", "nb", "head", F.explode_outer("bodies").alias("body"))
+    left, right = (worded.select(F.col("entity").alias(x), F.col("head"), F.col("body").alias(f"{x}_body")) for x in ("a", "b"))
+    within = left.join(right, (left["head"] == right["head"]) & (left["a_body"] == right["b_body"])).where("a < b").select("a", "b")
+    unknown = worded.where("nb = 0").select(F.col("entity").alias("u"), "head")
+    loose = unknown.join(worded.select(F.col("entity").alias("v"), "head"), "head").where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    # names of one word against longer names by body and first letter
+    first = F.array_distinct(F.transform("spellings", lambda s: F.named_struct(F.lit("single"), F.size(s["words"]) == 1, F.lit("letter"), F.substring(F.get(s["words"], 0), 1, 1))))
+    lettered = profile.select("entity", F.explode(blocks).alias("body"), first.alias("f")).where("body <> ''").select("entity", "body", F.inline("f"))
+    single = lettered.where("single").select(F.col("entity").alias("u"), "body", "letter")
+    full = lettered.where("not single").select(F.col("entity").alias("v"), "body", "letter")
+    spoken = single.join(full, ["body", "letter"]).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    candidates = within.unionByName(loose).unionByName(spoken).distinct()
+    sides = [profile.select(F.col("entity").alias(x), F.col("spellings").alias(f"{x}_spellings")) for x in ("a", "b")]
+    scored = candidates.join(sides[0], "a").join(sides[1], "b").mapInPandas(_score_departments, "a bigint, b bigint, score int")
+    moves = cut_lineage(scored.where("score > 0").groupBy(F.col("b").alias("entity")).agg(F.min("a").alias("to")))
+    if not moves.isEmpty():
+        return moves
+    # what only its body tells: a few rows beside the body's commonest department
+    one = profile.where(F.size("bodies") == 1).withColumn("body", F.get("bodies", 0))
+    main = one.groupBy("body").agg(F.max_by("entity", F.struct("n", "entity")).alias("main"), F.max("n").alias("main_n"))
+    nicknames = one.join(main, "body").where((F.col("entity") != F.col("main")) & (F.col("most") <= 1) & (F.col("n") <= NICKNAME_SHARE * F.col("main_n")))
+    moves = cut_lineage(nicknames.select("entity", F.col("main").alias("to")))
+    return None if moves.isEmpty() else moves
+
+
+def _score_departments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        scores = [max((compare_departments(x, y) for x in left for y in right), default=0) for left, right in zip(frame["a_spellings"], frame["b_spellings"], strict=True)]
+        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "score": scores})
 
 
 def spelling_pairs(linked: DataFrame, field: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary.
 
-Texts are turned into arrays of code points and of their classes (letter, number, white space,
-other).  Where a new piece starts depends on a class, its neighbours and on contractions only, so the
-starts of all pieces of a batch come from a few array operations, without a regular expression.  The
-pieces are then merged by rank, each distinct piece once per worker.
+Texts are turned into arrays of code points and of symbols: classes (letter, number, white space, other),
+told apart by what follows where that matters.  Every symbol is a function from the states of a small automaton to
+its states; composing functions is associative, so the states at all places come from a blocked scan over arrays, without a
+regular expression, and with them where pieces start.  The pieces are then merged by rank, each distinct piece
+once per worker.
 """
 
 from __future__ import annotations
@@ -51,44 +52,79 @@ def point_classes() -> np.ndarray:
     return kinds
 
 
-def piece_starts(points: np.ndarray) -> np.ndarray:
-    """A mask of where pieces start in code points whose texts are divided by 0x110000."""
+#: States of the automaton: after an edge, inside letters, numbers, others or white space, after a blank that goes with the
+#: next piece, one or two letters before a contraction's end, after it.
+AT_EDGE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, BEFORE_PIECE, ONE_LEFT, TWO_LEFT, CONTRACTED = range(9)
+#: Symbols beyond the classes: white space before a piece (a blank joins it, other does not), apostrophes that begin a
+#: contraction of one or two letters.
+JOINING_BLANK, LAST_SPACE, APOSTROPHE_1, APOSTROPHE_2 = range(5, 9)
+
+
+def _automaton() -> tuple[np.ndarray, np.ndarray]:
+    """(next state, whether a piece starts) by symbol and state."""
+    moves, starts = np.zeros((9, 9), np.int8), np.ones((9, 9), bool)
+    goes_on = {LETTER: (IN_LETTERS, (IN_LETTERS, BEFORE_PIECE)), NUMBER: (IN_NUMBERS, (IN_NUMBERS, BEFORE_PIECE)), OTHER: (IN_OTHERS, (IN_OTHERS, BEFORE_PIECE)), SPACE: (IN_SPACE, (IN_SPACE,))}
+    for symbol, (state, inside) in goes_on.items():
+        moves[symbol] = state
+        starts[symbol, list(inside)] = False
+    moves[LETTER, TWO_LEFT], moves[LETTER, ONE_LEFT] = ONE_LEFT, CONTRACTED
+    starts[LETTER, [TWO_LEFT, ONE_LEFT]] = False
+    moves[EDGE], moves[JOINING_BLANK], moves[LAST_SPACE] = AT_EDGE, BEFORE_PIECE, IN_SPACE
+    for symbol, state in ((APOSTROPHE_1, ONE_LEFT), (APOSTROPHE_2, TWO_LEFT)):
+        moves[symbol] = state
+        moves[symbol, [IN_OTHERS, BEFORE_PIECE]] = IN_OTHERS
+        starts[symbol, [IN_OTHERS, BEFORE_PIECE]] = False
+    return moves, starts
+
+
+MOVES, STARTS = _automaton()
+
+
+def symbols(points: np.ndarray) -> np.ndarray:
+    """The symbol of every code point: its class, changed where what follows matters."""
     kinds = point_classes()[points]
-    n = len(points)
-    start = np.ones(n, bool)
-    start[1:] = kinds[1:] != kinds[:-1]
-    edge = kinds == EDGE
-    start |= edge
-    start[1:] |= edge[:-1]
-    blank = points == 0x20
-    word = (kinds != SPACE) & ~edge
-    # one blank before a word belongs to the word
-    joined = np.zeros(n, bool)
-    joined[1:] = word[1:] & blank[:-1]
-    start &= ~joined
-    # the last white space before a word stands alone or goes with the word
-    last = np.zeros(n, bool)
-    last[:-1] = (kinds[:-1] == SPACE) & word[1:]
-    start |= last
-    # contractions: an apostrophe by itself, not after a blank, with letters behind
-    single = (points == 0x27) & start
-    single[:-1] &= kinds[1:] == LETTER
-    single[-1:] = False
-    at = np.flatnonzero(single)
+    out = kinds.copy()
+    following = np.append(kinds[1:], np.int8(EDGE))
+    last = (kinds == SPACE) & (following != SPACE) & (following != EDGE)
+    out[last] = np.where(points[last] == 0x20, JOINING_BLANK, LAST_SPACE)
+    at = np.flatnonzero((points == 0x27) & (following == LETTER))
     if len(at):
         padded = np.append(points, [0x110000] * 3)
-        length = np.zeros(len(at), np.int64)
+        undecided = np.ones(len(at), bool)
         for tail in CONTRACTIONS:
-            same = np.ones(len(at), bool)
+            same = undecided.copy()
             for k, char in enumerate(tail):
                 same &= padded[at + 1 + k] == ord(char)
-            length[same & (length == 0)] = len(tail)
-        hit = length > 0
-        at, length = at[hit], length[hit]
-        start[at + 1] = False
-        after = at + 1 + length
-        start[after[after < n]] = True
-    return start
+            out[at[same]] = APOSTROPHE_1 if len(tail) == 1 else APOSTROPHE_2
+            undecided &= ~same
+    return out
+
+
+def piece_starts(points: np.ndarray) -> np.ndarray:
+    """A mask of where pieces start in code points whose texts are divided by 0x110000.
+
+    The places are laid out in rows.  Each row's symbols are composed to one function, all rows at a time; the functions
+    of the rows before give the state in which a row begins; from there the states inside follow, again all rows at a time.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, bool)
+    width = max(1, int(n**0.5))
+    rows = -(-n // width)
+    laid = np.full(rows * width, EDGE, np.int8)
+    laid[:n] = symbols(points)
+    laid = np.ascontiguousarray(laid.reshape(rows, width).T)
+    whole = np.tile(np.arange(9, dtype=np.int8), (rows, 1))
+    for column in laid:
+        whole = MOVES[column[:, None], whole]
+    state = np.zeros(rows, np.int8)
+    for k in range(1, rows):
+        state[k] = whole[k - 1, state[k - 1]]
+    start = np.empty((width, rows), bool)
+    for k, column in enumerate(laid):
+        start[k] = STARTS[column, state]
+        state = MOVES[column, state]
+    return start.T.reshape(-1)[:n]
 
 
 class Encoder:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from plumbline.llm import mixing as mixing_module
 from plumbline.llm.abuse import Model, Words, document_features, fit_model, isotonic, plain_word, score_documents, sentence_features
 from plumbline.llm.mixing import mix, mix_report, solve
 
@@ -58,6 +59,41 @@ def test_every_document_of_equal_texts_can_be_used(spark):
     assert {r["doc_id"] for r in few} == {0, 1, 2, 3} and solve({("a",): 10, ("a", "a"): 20}, {"a": (1.0, 2)}, 30)[1] == {(("a",), "a"): 10, (("a", "a"), "a"): 20}
 
 
+def test_reachable_targets_are_met_although_documents_are_whole(spark):
+    """Long documents beside short ones: what they leave open of a quota is filled."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(300 if i % 9 == 0 else 1 + i % 12)), "a" if i % 3 else "b", "x") for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.37, 2), ("b", 0.63, 3)], TARGETS)
+    report = mix_report(docs, targets).collect()
+    assert all(r["met"] for r in report) and max(r["most_uses"] for r in report) <= 3
+    assert all(abs(r["n_tokens"] - r["target_share"] * r["total_aimed"]) <= 30 for r in report)
+
+
+def test_many_sets_of_sources_are_taken_apart(spark, monkeypatch):
+    rows = [(10 * i + k, f"text {i}", f"s{k}", "x") for i in range(40) for k in range(4) if (i >> k) & 1]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([(f"s{k}", 0.25, 2) for k in range(4)], TARGETS)
+    together = {r["source"]: r["n_tokens"] for r in mix_report(docs, targets).collect()}
+    monkeypatch.setattr(mixing_module, "MOST_GROUPS", 3)
+    apart = {r["source"]: r["n_tokens"] for r in mix_report(docs, targets).collect()}
+    assert set(apart) == set(together) and all(abs(apart[s] - together[s]) <= 3 for s in apart) and all(apart.values())
+
+
+def test_cheapest_flow_matches_brute_force():
+    """Least cost over all ways to meet the quotas, where the k-th use of a group costs 2 k, and 1 more for several sources."""
+    groups, targets = {("a",): 2, ("b",): 1, ("a", "b"): 2}, {"a": (0.5, 2), "b": (0.5, 2)}
+    for total in (4, 6, 8, 10):
+        _, flows = solve(groups, targets, total)
+        def cost(sent):
+            return sum(2 * (u // groups[g]) + (len(g) > 1) for g in groups for u in range(sum(v for (h, _), v in sent.items() if h == g)))
+        quota = total // 2
+        best = min(
+            cost({(("a",), "a"): x, (("a", "b"), "a"): quota - x, (("b",), "b"): y, (("a", "b"), "b"): quota - y})
+            for x in range(5) for y in range(3) if 0 <= quota - x <= 4 and 0 <= quota - y <= 4
+        )
+        assert cost(flows) == best and sum(v for (_, s), v in flows.items() if s == "a") == quota
+
+
 def test_unreachable_targets_are_reported(spark):
     docs = corpus(spark, {"a": 30, "b": 3})
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("gone", 0.1, 1)], TARGETS)
