@@ -1,9 +1,10 @@
 """Schemas that drift between files: tagged-union inference, one consistent table, a change report.
 
 Every JSON value carries a tag (number, string, boolean, array, object).  The schema of a file is, per
-canonical field, the union of the tags of its values and the headers they stood under.  Comparing a
-file's union with its predecessor's tells what was added, removed, renamed or retyped; reading a value
-through its tag gives a typed branch per alternative and one canonical conversion.
+canonical field and path below it, the union of the tags of its values, and the headers they stood under.  Comparing a
+file's union with its predecessor's tells what was added, removed, renamed or retyped, and which alternative appeared at
+which path; the union over all files gives the one table a typed branch per alternative and one canonical
+conversion.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import day_first_date, is_filler
+from ..functions.values import cell_parts, day_first_date, is_filler, unit_factor
+from ..session import cut_lineage
+from .ranks import same_keys
 
 #: Which words of a header tell its field: the first rule that holds counts.  Each rule lists groups of
 #: word beginnings, of which every group must be met.
@@ -99,14 +102,9 @@ def file_schemas(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def schema_changes(rows: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(publication_slug, field_name, change_kind) of each file against its body's file before it.
-
-    The file before is the one of the next lower publication_year; a file without body or year, and a
-    body's first file, have none.  Kinds: added, removed, renamed, type_changed.
-    """
-    schemas = file_schemas(rows, calendar)
-    files = (
+def file_pairs(calendar: DataFrame) -> DataFrame:
+    """(publication_slug, before): each file and the one of its body with the next lower publication_year."""
+    return (
         calendar.where("publishing_body is not null and publication_year is not null and publication_slug is not null")
         .select("publishing_body", "publication_year", "publication_slug")
         .distinct()
@@ -114,6 +112,16 @@ def schema_changes(rows: DataFrame, calendar: DataFrame) -> DataFrame:
         .where("before is not null")
         .select("publication_slug", "before")
     )
+
+
+def schema_changes(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(publication_slug, field_name, change_kind) of each file against its body's file before it.
+
+    The file before is the one of the next lower publication_year; a file without body or year, and a
+    body's first file, have none.  Kinds: added, removed, renamed, type_changed.
+    """
+    schemas = file_schemas(rows, calendar)
+    files = file_pairs(calendar)
     sides = files.select(
         "publication_slug",
         F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("publication_slug").alias("of")), F.struct(F.lit(0).alias("side"), F.col("before").alias("of")))).alias("s"),
@@ -142,51 +150,134 @@ def schema_changes(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     return both.select("publication_slug", "field_name", F.explode(kinds).alias("change_kind"))
 
 
-def _is_field(name: str):
-    return lambda x: x["field"] == name
+def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, header, type, body): every non-null value of every readable record, as JSON text with its tag."""
+    spark = rows.sparkSession
+    listed = ", ".join(keys)
+    found = spark.sql(
+        f"select {listed}, t.key as header, schema_of_variant(t.value) as kind, to_json(t.value) as body from {{rows}}, lateral variant_explode(try_parse_json(record)) t where t.key is not null",
+        rows=rows.select(*keys, "record"),
+    )
+    return found.select(*keys, "header", _tag(F.col("kind")).alias("type"), "body").where("type is not null")
 
 
-def unified_table(rows: DataFrame, calendar: DataFrame) -> DataFrame:
-    """All files as one table of canonical fields, one row per (publication_slug, row_no).
+def _with_fields(cells: DataFrame) -> DataFrame:
+    """Cells of project data with their field; the rules are applied to each distinct header once."""
+    headers = cells.select("header").distinct().withColumn("field_name", field_of(header_stem(F.col("header")))).where("field_name is not null")
+    return cells.join(headers, "header")
 
-    Per field: its text; for amounts also ``<field>_value`` from the number, the object's amount or the
-    text's number; for dates ``<field>_date`` from text or serial number; for the evaluation plan a
-    boolean.  A row that was delivered several times comes out once, as delivered last.
+
+def path_unions(rows: DataFrame) -> DataFrame:
+    """(publication_slug, field_name, path, types): the union of tags per path of each file; ``$`` is the value itself,
+    ``.key`` goes into an object and ``[]`` into an array.
+
+    Only values that hold others are opened, level by level, until none is left; what was seen is reduced to one row per file,
+    path and tag before any shuffle.
     """
-    newest = rows.where("publication_slug is not null").groupBy("publication_slug", "row_no").agg(
+    level = cut_lineage(_with_fields(_cells(rows.where("publication_slug is not null"), ["publication_slug"])).withColumn("path", F.lit("$")))
+    keys = ["publication_slug", "field_name", "path"]
+    seen = level.select(*keys, "type").distinct()
+    while True:
+        held = level.where("type in ('array', 'object')").select(*keys, "body")
+        if held.isEmpty():
+            break
+        opened = rows.sparkSession.sql(
+            "select publication_slug, field_name, concat(path, coalesce(concat('.', t.key), '[]')) as path, schema_of_variant(t.value) as kind, to_json(t.value) as body "
+            "from {held}, lateral variant_explode(try_parse_json(body)) t",
+            held=held,
+        )
+        level = cut_lineage(opened.select(*keys, _tag(F.col("kind")).alias("type"), "body").where("type is not null"))
+        seen = seen.unionByName(level.select(*keys, "type").distinct())
+    return seen.groupBy(*keys).agg(F.sort_array(F.collect_set("type")).alias("types"))
+
+
+def alternatives(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(publication_slug, field_name, path, json_type, change_kind): tags that ``appeared`` or ``vanished`` at a path of a
+    field from a body's file before, for fields that both files have."""
+    unions = path_unions(rows).select("publication_slug", "field_name", "path", F.explode("types").alias("json_type"))
+    pairs = file_pairs(calendar)
+    fields = unions.select("publication_slug", "field_name").distinct()
+    both = pairs.join(fields, "publication_slug").join(fields.withColumnRenamed("publication_slug", "before"), ["before", "field_name"]).select("publication_slug", "before", "field_name")
+    new = both.join(unions, ["publication_slug", "field_name"]).select("publication_slug", "field_name", "path", "json_type", F.lit(1).alias("side"))
+    old = both.join(unions.withColumnRenamed("publication_slug", "before"), ["before", "field_name"]).select("publication_slug", "field_name", "path", "json_type", F.lit(0).alias("side"))
+    keys = ["publication_slug", "field_name", "path", "json_type"]
+    sides = new.unionByName(old).groupBy(*keys).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+    return sides.select(*keys, F.when(F.col("high") == 1, "appeared").otherwise("vanished").alias("change_kind"))
+
+
+def branch_counts(cells: DataFrame) -> DataFrame:
+    """(field_name, type, n): the union of all files, at most one row per field and tag."""
+    return cells.groupBy("field_name", "type").agg(F.count("*").alias("n"))
+
+
+def _of_field(name: str):
+    return lambda x: x["field_name"] == name
+
+
+def newest_rows(rows: DataFrame) -> DataFrame:
+    """Every row of every file once, as delivered last."""
+    return rows.where("publication_slug is not null").groupBy("publication_slug", "row_no").agg(
         F.max_by("record", F.struct("delivered_at", "record_id")).alias("record")
     )
-    entries = F.map_entries(F.try_parse_json("record").try_cast("map<string,variant>"))
-    tagged = F.transform(
-        entries,
-        lambda e: F.struct(
-            field_of(header_stem(e["key"])).alias("field"), _tag(F.schema_of_variant(e["value"])).alias("type"), e["value"].alias("value")
-        ),
+
+
+def _branch(value: Column, tag: str) -> Column:
+    kind = {"number": "double", "string": "string", "boolean": "boolean", "array": "array<string>"}.get(tag)
+    return F.try_variant_get(value, "$", kind) if kind else F.to_json(value)
+
+
+def unified_table(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """All files as one table of canonical fields, one row per (publication_slug, row_no).
+
+    Per field: its text, and ``<field>__<tag>`` for every alternative that the union of all files has.  Canonical conversions:
+    for amounts ``<field>_value`` in millions of pounds, by the unit of the object, the text or the header; for dates
+    ``<field>_date`` from text or serial number; for the evaluation plan a boolean.  A row that was delivered several
+    times comes out once, as delivered last.  Where several headers of a row stand for one field the least
+    counts, and ``more`` has the others.
+    """
+    newest = newest_rows(rows)
+    cells = cut_lineage(_with_fields(_cells(newest, ["publication_slug", "row_no"])))
+    tags: dict[str, list[str]] = {}
+    for r in sorted(branch_counts(cells).collect()):
+        tags.setdefault(r["field_name"], []).append(r["type"])
+    # cells of one row only
+    own = cells.groupBy("publication_slug", "row_no").agg(F.sort_array(F.collect_list(F.struct("header", "field_name", "type", "body"))).alias("held"))
+    table = same_keys(newest.select("publication_slug", "row_no"), own, ["publication_slug", "row_no"], "left")
+    repeated = F.filter("held", lambda x, i: F.exists(F.slice("held", F.lit(1), i), lambda y: y["field_name"] == x["field_name"]))
+    table = table.withColumn("more", F.transform(repeated, lambda x: F.named_struct(F.lit("header"), x["header"], F.lit("field_name"), x["field_name"], F.lit("body"), x["body"])))
+    # each field's counted cell by itself, so that every conversion is there once and not once per field
+    firsts = F.filter("held", lambda x, i: ~F.exists(F.slice("held", F.lit(1), i), lambda y: y["field_name"] == x["field_name"]))
+    counted = table.select("publication_slug", "row_no", F.inline(firsts)).withColumn("v", F.try_parse_json("body"))
+    kind, value, field = F.col("type"), F.col("v"), F.col("field_name")
+    counted = counted.withColumn("plain", F.try_variant_get(value, "$", "string"))
+    text = F.when(kind == "array", F.array_join(F.try_variant_get(value, "$", "array<string>"), " ")).when(kind == "object", F.col("body")).otherwise(F.col("plain"))
+    counted = counted.withColumn("text", text).withColumn("parts", F.when(field.isin(*MONEY_FIELDS), cell_parts(F.col("plain"))))
+    unit = F.when(kind == "object", F.try_variant_get(value, "$.unit", "string")).when(kind == "string", F.col("parts.unit"))
+    noted = F.regexp_extract("header", r"[(\[]([^)\]]*)[)\]]", 1)
+    counted = counted.withColumn("own", unit_factor(F.coalesce(unit, F.lit("")))).withColumn("noted", unit_factor(noted))
+    number = (
+        F.when(kind == "object", F.try_variant_get(value, "$.amount", "double"))
+        .when(kind == "number", F.try_variant_get(value, "$", "double"))
+        .when(kind == "string", F.col("parts.number").cast("double"))
     )
-    held = newest.select("publication_slug", "row_no", F.filter(tagged, lambda x: x["field"].isNotNull() & x["type"].isNotNull()).alias("held"))
+    amount = F.when(field.isin(*MONEY_FIELDS), number * F.coalesce("own", "noted", F.lit(1e6)) / 1e6)
+    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.try_variant_get(value, "$", "int"))
+    dated = F.when(field.isin("start_date", "end_date"), F.when(kind == "number", serial).otherwise(day_first_date(F.col("text"))))
+    planned = F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean")).when(~is_filler(F.col("text")), F.lower(F.trim("text")).rlike("^(y|true|1)"))
+    branches = {tag: F.when(kind == tag, _branch(value, tag)) for tag in sorted({t for ts in tags.values() for t in ts})}
+    read = counted.select("publication_slug", "row_no", "field_name", "text", amount.alias("amount"), dated.alias("dated"), planned.alias("planned"), *[c.alias(f"as_{tag}") for tag, c in branches.items()])
     columns = []
     for name, _ in FIELD_RULES:
-        first = F.try_element_at(F.filter("held", _is_field(name)), F.lit(1))
-        text = F.when(first["type"] == "array", F.array_join(F.try_variant_get(first["value"], "$", "array<string>"), " ")).when(
-            first["type"] == "object", F.to_json(first["value"])
-        ).otherwise(F.try_variant_get(first["value"], "$", "string"))
-        columns.append(text.alias(name))
+        own_field = F.col("field_name") == name
+        columns.append(F.max(F.when(own_field, F.col("text"))).alias(name))
+        columns += [F.max(F.when(own_field, F.col(f"as_{tag}"))).alias(f"{name}__{tag}") for tag in tags.get(name, [])]
         if name in MONEY_FIELDS:
-            digits = F.regexp_replace(F.regexp_extract(F.try_variant_get(first["value"], "$", "string"), r"(\d[\d,]*(?:\.\d+)?)", 1), ",", "")
-            columns.append(
-                F.when(first["type"] == "object", F.try_variant_get(first["value"], "$.amount", "double"))
-                .when(first["type"] == "number", F.try_variant_get(first["value"], "$", "double"))
-                .when(first["type"] == "string", digits.try_cast("double"))
-                .alias(f"{name}_value")
-            )
+            columns.append(F.max(F.when(own_field, F.col("amount"))).alias(f"{name}_value"))
         elif name in ("start_date", "end_date"):
-            serial = F.date_add(F.lit("1899-12-30").cast("date"), F.try_variant_get(first["value"], "$", "int"))
-            columns.append(F.when(first["type"] == "number", serial).otherwise(day_first_date(text)).alias(f"{name}_date"))
+            columns.append(F.max(F.when(own_field, F.col("dated"))).alias(f"{name}_date"))
         elif name == "evaluation_plan":
-            columns.append(
-                F.when(first["type"] == "boolean", F.try_variant_get(first["value"], "$", "boolean"))
-                .when(~is_filler(text), F.lower(F.trim(text)).rlike("^(y|true|1)"))
-                .alias("evaluation_planned")
-            )
+            columns.append(F.max(F.when(own_field, F.col("planned"))).alias("evaluation_planned"))
+    keys = ["publication_slug", "row_no"]
+    table = same_keys(table.select(*keys, "more"), read.groupBy(*keys).agg(*columns), keys, "left")
     implied = calendar.groupBy("publication_slug").agg(F.max("money_header_implies").alias("money_header_implies"))
-    return held.select("publication_slug", "row_no", *columns).join(implied, "publication_slug", "left")
+    return table.join(implied, "publication_slug", "left")

@@ -30,6 +30,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\r\n")] = True
 _NUMERIC = np.zeros(256, bool)
 _NUMERIC[list(b"0123456789+-.eE")] = True
+_DIGIT, _HEX, _ESCAPED = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[list(b"0123456789")] = True
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+_ESCAPED[list(b'"\\/bfnrtu')] = True
 
 
 @dataclass(frozen=True)
@@ -39,17 +43,21 @@ class Link:
     parents    keys from the document's root to the parent objects; () is the root itself
     parent_id  key of the parent's id
     child      key that holds the children: a list, an object keyed by position or id, a single
-               object, or for plain values a single string
-    child_id   key of the child's id; None when the children are plain values
+               object, or for plain values a single string; None for the document itself
+    child_id   key of the child's id; None when the children are plain values, POSITION when their place
+               among their parent's children is to stand for an id
     """
 
     table: str
     parents: tuple[str, ...]
-    child: str
+    child: str | None
     child_id: str | None
     parent_id: str = "id"
 
 
+POSITION = "#"
+
+
 TENDER_LINKS = (
     Link("lot_values", ("bids",), "lotValues", "relatedLot"),
     Link("awards", (), "awards", "id"),
@@ -89,6 +97,8 @@ class Tape:
         control = inside & (b < 0x20)
         if control.any():
             good[doc[control]] = False
+        if slash.any():
+            self._check_escapes(b, doc, np.flatnonzero(slash & inside & ~escaped), good)
 
         outside = ~inside & ~quote
         structural = outside & (_KIND[b] > 0)
@@ -102,6 +112,49 @@ class Tape:
         kind = np.where(opening[at], STRING, np.where(plain_start[at], SCALAR, _KIND[b[at]])).astype(np.int8)
         self._set(b, doc, at, kind, quote, plain, good)
 
+    def _check_escapes(self, b, doc, at, good):
+        """A backslash stands before one of the letters it may, u before four hexadecimal digits."""
+        padded = np.append(b, np.zeros(5, np.uint8))
+        sign = padded[at + 1]
+        ok = _ESCAPED[sign]
+        coded = sign == 0x75
+        for k in range(2, 6):
+            ok &= ~coded | _HEX[padded[at + k]]
+        good[doc[at[~ok]]] = False
+
+    def _check_numbers(self, b, tokens):
+        """Which scalar tokens made of numeric bytes are JSON numbers."""
+        start, stop = self.at[tokens], self.end[tokens]
+        digit = _DIGIT[b]
+        after, before = np.append(digit[1:], False), np.append(False, digit[:-1])
+        point, power = b == 0x2E, (b == 0x65) | (b == 0x45)
+        sign = (b == 0x2B) | (b == 0x2D)
+        first = np.zeros(len(b), bool)
+        first[start] = True
+        behind_power = np.append(False, power[:-1])
+        # a point between digits, a power behind one and before one or a sign, a sign first (minus only) or behind a power, before a digit
+        wrong = (point & ~(before & after)) | (power & ~(before & (after | np.append(sign[1:], False)))) | (sign & ~(((first & (b == 0x2D)) | behind_power) & after))
+        # no digit behind a leading zero
+        leads = (first | np.append(False, (first & sign)[:-1])) & (b == 0x30)
+        wrong |= leads & after
+        ok = digit[stop - 1]
+        for mask, most in ((wrong, 0), (point, 1), (power, 1)):
+            total = np.r_[0, np.cumsum(mask, dtype=np.int64)]
+            ok &= total[stop] - total[start] <= most
+        # no point behind a power
+        powers = np.r_[0, np.cumsum(power, dtype=np.int64)]
+        late = np.r_[0, np.cumsum(point & (powers[:-1] > powers[self._owner(b, start, stop)]), dtype=np.int64)]
+        return ok & (late[stop] == late[start])
+
+    @staticmethod
+    def _owner(b, start, stop):
+        """For every byte the start of the token it lies in, 0 outside."""
+        out = np.zeros(len(b), np.int64)
+        sizes = (stop - start).astype(np.int64)
+        places = np.repeat(start.astype(np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        out[places] = np.repeat(start, sizes)
+        return out
+
     def _set(self, b, doc, at, kind, quote, plain, good):
         in_doc = doc[at]
         end = at + 1
@@ -180,11 +233,13 @@ class Tape:
         scalar = np.flatnonzero(kind == SCALAR)
         if len(scalar):
             odd = np.r_[0, np.cumsum(~_NUMERIC[b], dtype=np.int64)]
-            worded = scalar[odd[self.end[scalar]] != odd[self.at[scalar]]]
+            named = odd[self.end[scalar]] != odd[self.at[scalar]]
+            worded, numbers = scalar[named], scalar[~named]
+            ok[numbers] &= self._check_numbers(b, numbers)
             word = np.zeros(len(worded), bool)
             for text in (b"true", b"false", b"null"):
                 word |= self._equals(worded, text, self.at, 0)
-            ok[worded] = word
+            ok[worded] &= word
         good[self.doc[~ok]] = False
         self.key = np.full(n, -1, np.int32)
         members = np.flatnonzero(value & (around == OBJ))
@@ -238,10 +293,11 @@ def _roots(tape: Tape) -> np.ndarray:
     for name in WRAPPERS:
         below = tape.under(name)
         inner[tape.container[below]] = below
-    for _ in range(4):
+    while True:
         wrapped = (root >= 0) & ~has_id[root] & (inner[root] >= 0)
+        if not wrapped.any():
+            return root
         root = np.where(wrapped, inner[root], root)
-    return root
 
 
 def _children(tape: Tape, parents: np.ndarray, name: str, child_id: str | None):
@@ -327,7 +383,7 @@ def _extract_chunk(encoded: list[bytes], links: tuple[Link, ...], payload: bool)
         parents = documents
         for name in link.parents:
             parents, _ = _children(tape, parents, name, link.parent_id)
-        tokens, owners = _children(tape, parents, link.child, link.child_id)
+        tokens, owners = (parents, parents) if link.child is None else _children(tape, parents, link.child, link.child_id)
         ordinal, last = 0, None
         for token, owner in zip(tokens.tolist(), owners.tolist(), strict=True):
             ordinal = ordinal + 1 if owner == last else 0
@@ -336,6 +392,8 @@ def _extract_chunk(encoded: list[bytes], links: tuple[Link, ...], payload: bool)
             if link.child_id is None:
                 child = tape.text(token)
                 child = child.strip() if child is not None else None
+            elif link.child_id == POSITION:
+                child = str(ordinal)
             else:
                 child = named(token, link.child_id)
             if parent is None or not child:
