@@ -125,3 +125,55 @@ def parse_unit(text: str, dimension: str = "money") -> Unit | None:
     if score <= 0 and dim != dimension:
         return None
     return Unit(factor, dim, exponent, scaled, score) if math.isfinite(factor) else None
+
+
+#: Words that may stand between a scale and its root.
+_LINKING = ("of", "in")
+
+
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of words, runs of digits and single signs."""
+    out, i = [], 0
+    while i < len(text):
+        j = i + 1
+        if text[i].isalpha():
+            while j < len(text) and text[j].isalpha():
+                j += 1
+        elif text[i].isdigit():
+            while j < len(text) and text[j].isdigit():
+                j += 1
+        if not text[i].isspace():
+            out.append((i, j))
+        i = j
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def _is_piece(word: str) -> bool:
+    return word in ("'", "’", "(", ")", "/") or word in _LINKING or word in SCALES or word in ROOTS
+
+
+def leading_unit(text: str, dimension: str = "money") -> Unit | None:
+    """The unit that a text begins with, as behind a number; None when it begins with something else.
+
+    The text is followed as long as it goes on with pieces of units; what they make is segmented as a whole.
+    """
+    lower = text.lower()
+    stop = 0
+    for a, b in _tokens(lower):
+        if not _is_piece(lower[a:b]):
+            break
+        stop = b
+    return parse_unit(text[:stop], dimension) if stop else None
+
+
+def trailing_unit(text: str, dimension: str = "money") -> Unit | None:
+    """The unit that a text ends with, as before a number."""
+    lower = text.lower()
+    start = len(text)
+    for a, b in reversed(_tokens(lower)):
+        word = lower[a:b]
+        if not _is_piece(word) or word in _LINKING:
+            break
+        start = a
+    return parse_unit(text[start:], dimension) if start < len(text) else None

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .units import parse_unit
+from .units import leading_unit, parse_unit, trailing_unit
 
 #: What stands in a cell instead of a value, in lower case and without outer blanks.
 FILLERS = (
@@ -97,18 +97,48 @@ def day_first_date(value: Column) -> Column:
     )
 
 
+def _factors(read, series: pd.Series) -> pd.Series:
+    """Pounds per unit, worked out once per distinct text."""
+
+    def factor(text):
+        unit = read(text) if text else None
+        return unit.factor if unit is not None and unit.dimension in (None, "money") else None
+
+    known = {t: factor(t) for t in series.dropna().unique()}
+    return series.map(known).astype("float64")
+
+
+def _whole_unit(text: str):
+    # long texts stay out of the cache
+    return (parse_unit if len(text) <= 400 else parse_unit.__wrapped__)(text)
+
+
 @F.pandas_udf(DoubleType())
 def _unit_factor(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pounds per unit named in a text of a money field; null where none is named."""
+    for series in texts:
+        yield _factors(_whole_unit, series)
 
-    def factor(text):
-        # long texts stay out of the cache
-        unit = (parse_unit if len(text) <= 400 else parse_unit.__wrapped__)(text) if text else None
-        return unit.factor if unit is not None and unit.dimension in (None, "money") else None
 
+@F.pandas_udf(DoubleType())
+def _leading_factor(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for series in texts:
+        yield _factors(leading_unit, series)
+
+
+@F.pandas_udf(DoubleType())
+def _trailing_factor(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
-        known = {t: factor(t) for t in series.dropna().unique()}
-        yield series.map(known).astype("float64")
+        yield _factors(trailing_unit, series)
+
+
+def unit_around(before: Column, after: Column) -> Column:
+    """Pounds per unit as written behind a number or before it; of two the one behind counts with its scale.
+
+    A sign of pounds before the number and a scale behind it are one unit.  Null where neither side begins, or ends, with a unit.
+    """
+    behind, ahead = _leading_factor(after), _trailing_factor(before)
+    return F.coalesce(behind, ahead)
 
 
 def unit_factor(text: Column) -> Column:
@@ -116,11 +146,6 @@ def unit_factor(text: Column) -> Column:
 
 
 _NUMBER = r"\d[\d,]*(?:\.\d+)?"
-#: An amount inside a text: what stands before the number, the number, the unit after it.
-_BEFORE = r"(£\s?'?000|£'000|£|GBP)?\s*"
-_AFTER = r"\s*(\(£'?000\)|£\s?k|£\s?m|£\s?bn|(?:(?:hundred|thousand|million|billion|trillion)s?|mn|bn|tn|m|b|k|gbp|pounds?|pence|sterling)\b(?:\s+(?:of\s+)?(?:pounds?|gbp|sterling))?)?"
-
-
 def cell_parts(cell: Column) -> Column:
     """struct(number decimal, unit string) of a money cell; number null for fillers and prose."""
     text = F.trim(cell)
@@ -131,7 +156,7 @@ def cell_parts(cell: Column) -> Column:
 
 
 #: What introduces a statement of the unit of all figures in a row ...
-_NOTE = r"(?i)\b(?:figures|amounts|values|sums|entered|stated|money)\b((?:£\s?'?000|[^.\d,;])*)"
+_NOTE = r"(?i)\b(?:figures|amounts|values|sums|entered|stated|money)\b([^.\d,;]*(?:£\s?'?000[^.\d,;]*){0,4})"
 #: ... and what introduces the whole-life cost in a narrative.
 _LIFE = r"(?i)(?:\bwlc\b|whole[\s-]*life|life[\s-]?cycle|life[\s-]?time|over (?:its |the )?life)"
 
@@ -142,19 +167,27 @@ def note_unit(narrative: Column) -> Column:
 
 
 def life_cost_parts(narrative: Column) -> Column:
-    """struct(number, unit) of the whole-life cost stated in a narrative; other amounts are left aside."""
-    pattern = _LIFE + r"(?:(?!\bGBP\b)[^\d£.])*?" + _BEFORE.replace("?)?", "?)?") + "(" + _NUMBER + ")" + _AFTER
+    """struct(number, before, after) of the whole-life cost stated in a narrative, with the texts between which its number
+    stands; other amounts are left aside.
+
+    The texts reach to the mention of the whole life, and to the next number or the end; units are read from them by
+    segmentation, so no unit is named here.  A number may be spelled out before a word of scale.
+    """
+    # loops over single characters only: a loop over alternatives would recurse, and overflow on a very long text
+    pattern = _LIFE + r"([^\d.]*?(?:[£']\s?'?000\b[^\d.]*?)?)(" + _NUMBER + r")([^\d(]*(?:\(£?'?000\))?[^\d]*)"
     number = F.regexp_replace(F.regexp_extract(narrative, pattern, 2), ",", "").try_cast("decimal(24,6)")
-    unit = F.trim(F.concat_ws(" ", F.regexp_extract(narrative, pattern, 1), F.regexp_extract(narrative, pattern, 3)))
     words = "|".join(NUMBER_WORDS)
-    spoken = _LIFE + r"[^\d£.]*?\b(" + words + r") (hundred|thousand|million|billion|trillion)\b"
+    spoken = _LIFE + r"[^\d£.]*?\b(" + words + r")\s+(\p{L}[^\d]*)"
     word = F.lower(F.regexp_extract(narrative, spoken, 1))
     value = F.lit(None).cast("decimal(24,6)")
     for i, name in enumerate(NUMBER_WORDS, 1):
         value = F.when(word == name, F.lit(i).cast("decimal(24,6)")).otherwise(value)
+    # a word such as "one" counts only when a unit follows it
+    said = F.when(value.isNotNull() & _leading_factor(F.regexp_extract(narrative, spoken, 2)).isNotNull(), value)
     return F.struct(
-        F.coalesce(value, number).alias("number"),
-        F.when(value.isNotNull(), F.regexp_extract(narrative, spoken, 2)).otherwise(unit).alias("unit"),
+        F.coalesce(said, number).alias("number"),
+        F.when(said.isNull(), F.regexp_extract(narrative, pattern, 1)).otherwise("").alias("before"),
+        F.when(said.isNotNull(), F.regexp_extract(narrative, spoken, 2)).otherwise(F.regexp_extract(narrative, pattern, 3)).alias("after"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import cell_parts, effective_factor, life_cost_parts, note_unit, pounds, unit_factor
+from ..functions.values import cell_parts, effective_factor, life_cost_parts, note_unit, pounds, unit_around, unit_factor
 
 #: Columns of amounts that are to be in millions of pounds, and the narrative that states the whole-life cost.
 CELLS = ("wlc_baseline_gbp_m", "fy_forecast_gbp_m")
@@ -20,27 +20,26 @@ def amounts_in_pounds(panel: DataFrame, keep: list[str], cells: tuple[str, ...]
     its figures, else told by its size: a bare number from half a million up is whole pounds, below
     it is millions.  Fillers, prose and nulls give no row; repeated rows each give theirs.
     """
-    note = unit_factor(note_unit(F.col(narrative)))
     parsed = panel.select(
         *keep,
-        note.alias("__note"),
+        note_unit(F.col(narrative)).alias("__note"),
         *[cell_parts(F.col(c)).alias(f"__{c}") for c in cells],
         *([life_cost_parts(F.col(narrative)).alias(f"__{narrative}")] if with_narrative else []),
-    )
-    fields = [*cells, *([narrative] if with_narrative else [])]
-    stacked = parsed.select(
-        *keep,
-        "__note",
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(f"__{c}.number").alias("number"), F.col(f"__{c}.unit").alias("unit")) for c in fields])
-        ).alias("a"),
-    ).where("a.number is not null")
-    own = stacked.withColumn("__own", unit_factor(F.col("a.unit")))
+    ).withColumn("__note", unit_factor(F.col("__note")))
+    none = F.lit(None).cast("string")
+    read = [F.struct(F.lit(c).alias("field_name"), F.col(f"__{c}.number").alias("number"), F.col(f"__{c}.unit").alias("unit"), none.alias("before"), none.alias("after")) for c in cells]
+    if with_narrative:
+        life = F.col(f"__{narrative}")
+        read.append(F.struct(F.lit(narrative).alias("field_name"), life["number"].alias("number"), none.alias("unit"), life["before"].alias("before"), life["after"].alias("after")))
+    stacked = parsed.select(*keep, "__note", F.inline(F.array(*read))).where("number is not null")
+    # a cell's text around its number is its unit; in a narrative the unit is what touches the number
+    own = stacked.withColumn("__cell", unit_factor(F.col("unit"))).withColumn("__text", unit_around(F.col("before"), F.col("after")))
+    own = own.withColumn("__own", F.coalesce("__cell", "__text"))
     return own.select(
         *keep,
-        F.col("a.field_name").alias("field_name"),
-        pounds(F.col("a.number"), F.col("__own"), F.col("__note")).alias("pounds"),
-        effective_factor(F.col("a.number"), F.col("__own"), F.col("__note")).alias("unit_factor"),
+        "field_name",
+        pounds(F.col("number"), F.col("__own"), F.col("__note")).alias("pounds"),
+        effective_factor(F.col("number"), F.col("__own"), F.col("__note")).alias("unit_factor"),
     )
 
 

@@ -7,7 +7,7 @@ digests differ is anything looked at, and rows are compared only in leaves that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import (
@@ -27,6 +27,8 @@ from ..session import cut_lineage
 #: Leaves of the digest tree and children of a node; LEAVES is a power of FANOUT.
 LEAVES = 65_536
 FANOUT = 256
+#: Most snapshots that are compared at once; their list is a broadcast of two rows each.
+MOST_SNAPSHOTS = 100_000
 
 
 def claim_order(kind: str = "source_kind", published: str = "published_at", row: str = "row_id") -> Column:
@@ -103,66 +105,63 @@ def project_snapshots(panel: DataFrame) -> DataFrame:
     )
 
 
-def digest_tree(rows: DataFrame, key: str, snapshot: str, fields: list[str], leaves: int = LEAVES, fanout: int = FANOUT) -> tuple[DataFrame, list[DataFrame]]:
-    """(rows with ``__leaf``, levels from the root down): a level has (snapshot, node, digest, n).
+def differing_leaves(keyed: DataFrame, roles: DataFrame, snapshot: str, leaves: int, fanout: int) -> DataFrame:
+    """(snapshot, __leaf): the leaves in which a snapshot differs from the one before.
 
-    A leaf's digest is the sum of its row hashes and their exclusive or, which do not depend on the order of
-    rows; a node's digest is that of its children.
+    ``keyed`` has ``__leaf`` and ``__hash`` per row, ``roles`` says in which comparisons a snapshot takes part.  A leaf's
+    digest is the sum of its row hashes and their exclusive or, which do not depend on the order of rows.  Both sides of a comparison
+    stand in one row; the digest of a node is that of its children.  From the root down only children of nodes that
+    differ are looked at.  The tree has at most one row per comparison and node, however many rows the snapshots have.
     """
-    hashed = rows.withColumn("__leaf", F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int")).withColumn(
-        "__hash", F.xxhash64(key, *fields, *[F.col(f).isNull() for f in fields])
-    )
+    digest = keyed.groupBy(snapshot, "__leaf").agg(
+        F.bit_xor("__hash").alias("x"), F.sum(F.shiftright("__hash", 32)).alias("s"), F.count("*").alias("n")
+    ).select(F.col(snapshot).alias("__at"), F.col("__leaf").alias("node"), F.xxhash64("x", "s", "n").alias("digest"))
 
-    def digest(frame, node, value, count):
-        return frame.groupBy(snapshot, node.alias("node")).agg(
-            F.bit_xor(value).alias("x"), F.sum(F.shiftright(value, 32)).alias("s"), F.sum(count).alias("n")
-        ).select(snapshot, "node", F.xxhash64("x", "s", "n").alias("digest"), "n")
+    def side(k, value):
+        return F.max(F.when(F.col("side") == k, value))
 
-    levels = [cut_lineage(digest(hashed, F.col("__leaf"), F.col("__hash"), F.lit(1)))]
+    compared = digest.join(F.broadcast(roles), "__at").groupBy(snapshot, "node").agg(side(1, F.col("digest")).alias("new"), side(0, F.col("digest")).alias("old"))
+    levels = [cut_lineage(compared)]
     width = leaves
     while width > 1:
-        width //= fanout
-        levels.append(digest(levels[-1], F.floor(F.col("node") / fanout).cast("int"), F.xxhash64("node", "digest"), F.col("n")))
-    return hashed.drop("__hash"), levels[::-1]
+        width = -(-width // fanout)
+        both = [F.struct(F.bit_xor(F.xxhash64("node", c)).alias("x"), F.sum(F.shiftright(F.xxhash64("node", c), 32)).alias("s")) for c in ("new", "old")]
+        up = levels[-1].groupBy(snapshot, F.floor(F.col("node") / fanout).cast("int").alias("node")).agg(F.xxhash64(both[0]).alias("new"), F.xxhash64(both[1]).alias("old"))
+        levels.append(up)
+    differs = ~F.col("new").eqNullSafe(F.col("old"))
+    found = levels[-1].where(differs).select(snapshot, "node")
+    for level in levels[-2::-1]:
+        below = level.where(differs).select(snapshot, "node", F.floor(F.col("node") / fanout).cast("int").alias("parent"))
+        found = below.join(found.withColumnRenamed("node", "parent"), [snapshot, "parent"], "left_semi").select(snapshot, "node")
+    return found.withColumnRenamed("node", "__leaf")
 
 
 def snapshot_changes(snapshots: DataFrame, key: str, snapshot: str, fields: list[str], leaves: int = LEAVES, fanout: int = FANOUT) -> DataFrame:
     """(key, snapshot, change_kind, field_name) from each snapshot to the next, dated by the later.
 
     ``added`` and ``removed`` have field_name ``record``; ``changed`` has the field, where null differs from
-    any value.  Nothing is said of the first snapshot.  One row per key and snapshot is expected.
+    any value.  Nothing is said of the first snapshot.  One row per key and snapshot is expected.  There may be at most
+    MOST_SNAPSHOTS snapshots, since their dates are ordered and sent to every task.
     """
-    snapshots = cut_lineage(snapshots)
-    keyed, levels = digest_tree(snapshots, key, snapshot, fields, leaves, fanout)
-    # one row per snapshot: a window over as many rows as there are snapshots
-    pairs = (
-        snapshots.select(snapshot).distinct().withColumn("__before", F.lag(snapshot).over(Window.orderBy(snapshot))).where("__before is not null")
+    keyed = cut_lineage(
+        snapshots.withColumn("__leaf", F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int")).withColumn("__hash", F.xxhash64(key, *fields, *[F.col(f).isNull() for f in fields]))
     )
-    open_nodes = pairs.withColumn("__parent", F.lit(0))
-    for depth, level in enumerate(levels):
-        node = F.col("node")
-        parent = F.lit(0) if depth == 0 else F.floor(node / fanout).cast("int")
-        # both sides of every pair, told apart by which of the pair's snapshots they belong to
-        sides = level.select(F.col(snapshot).alias("__at"), "node", parent.alias("__parent"), "digest")
-        later = open_nodes.join(sides, (open_nodes[snapshot] == sides["__at"]) & (open_nodes["__parent"] == sides["__parent"])).select(
-            snapshot, "__before", "node", F.lit(1).alias("side"), "digest"
-        )
-        earlier = open_nodes.join(sides, (open_nodes["__before"] == sides["__at"]) & (open_nodes["__parent"] == sides["__parent"])).select(
-            snapshot, "__before", "node", F.lit(0).alias("side"), "digest"
-        )
-        both = later.unionByName(earlier).groupBy(snapshot, "__before", "node").agg(
-            F.max(F.when(F.col("side") == 1, F.col("digest"))).alias("new"), F.max(F.when(F.col("side") == 0, F.col("digest"))).alias("old")
-        )
-        open_nodes = both.where(~F.col("new").eqNullSafe(F.col("old"))).select(snapshot, "__before", F.col("node").alias("__parent"))
-
+    dates = [r[0] for r in keyed.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().limit(MOST_SNAPSHOTS + 1).collect()]
+    if len(dates) > MOST_SNAPSHOTS:
+        raise ValueError(f"more than {MOST_SNAPSHOTS} snapshots")
+    dates.sort()
+    taking = [(at, dated, k) for old, new in zip(dates, dates[1:], strict=False) for at, dated, k in ((new, new, 1), (old, new, 0))]
+    kind = keyed.schema[snapshot].dataType.simpleString()
+    roles = keyed.sparkSession.createDataFrame(taking, f"__at {kind}, `{snapshot}` {kind}, side int")
+    differing = differing_leaves(keyed, roles, snapshot, leaves, fanout)
     value = F.struct(*fields)
-    differing = open_nodes.withColumnRenamed("__parent", "__leaf")
-    new = keyed.join(differing.select(snapshot, "__leaf"), [snapshot, "__leaf"]).select(key, snapshot, F.lit(1).alias("side"), value.alias("v"))
-    old = keyed.join(
-        differing.select(F.col("__before").alias("__old"), "__leaf", F.col(snapshot).alias("__dated")),
-        (keyed[snapshot] == F.col("__old")) & (keyed["__leaf"] == differing["__leaf"]),
-    ).select(key, F.col("__dated").alias(snapshot), F.lit(0).alias("side"), value.alias("v"))
-    matched = new.unionByName(old).groupBy(key, snapshot).agg(
+    sides = (
+        keyed.withColumnRenamed(snapshot, "__at")
+        .join(F.broadcast(roles), "__at")
+        .join(differing, [snapshot, "__leaf"], "left_semi")
+        .select(key, snapshot, "side", value.alias("v"))
+    )
+    matched = sides.groupBy(key, snapshot).agg(
         F.max_by("v", F.when(F.col("side") == 1, 1)).alias("new"),
         F.max_by("v", F.when(F.col("side") == 0, 1)).alias("old"),
         F.max("side").alias("has_new"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -53,15 +54,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The shared folder that the session names; a temporary one only where everything runs in one process."""
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return tempfile.mkdtemp(prefix="plumbline-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests,
-    a laptop) a temporary folder is chosen.  Checkpoint files survive the loss of executors.
+    The folder is ``spark.checkpoint.dir`` of the session.  Only on a single machine (tests, a laptop) a temporary
+    folder is chosen where that is unset; on a cluster that is an error, since executors could not read it.
+    Checkpoint files survive the loss of executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), context.master))
     return df.checkpoint(eager=True)

@@ -123,3 +123,40 @@ def test_lots_and_registry(spark):
     contracts = {r["contract_id"]: r for r in tenders.contracts_with_registry(found).collect()}
     assert contracts["c1"]["n_changes"] == 2 and contracts["c1"]["rationales"] == "durationExtension|taxRate" and contracts["c1"]["n_duration_changes"] == 1
     assert contracts["c1"]["first_change"] < contracts["c1"]["first_duration_change"] and contracts["c2"]["n_changes"] is None
+
+
+def tender_frame(spark, *documents):
+    rows = [(i, d["id"], "k", "2020-01-01T00:00:00Z", dt.datetime(2020, 1, 1), json.dumps(d)) for i, d in enumerate(documents)]
+    return tenders.tender_rows(spark.createDataFrame(rows, "record_id long, object_id string, doc_kind string, date_modified string, fetched_at timestamp_ntz, body string"))
+
+
+def test_what_names_no_lot_belongs_to_the_only_one(spark):
+    one = {"id": "t", "tenderID": "T", "lots": [{"id": "l"}], "bids": [{"id": "b", "value": {"amount": 3}}, {"id": "c", "value": None}], "awards": [{"id": "a", "status": "active", "bid_id": "b"}]}
+    two = {"id": "u", "tenderID": "U", "lots": [{"id": "m"}, {"id": "n"}], "bids": [{"id": "d", "value": {"amount": 4}}], "awards": [{"id": "a", "status": "active", "bid_id": "d"}]}
+    none = {"id": "v", "tenderID": "V", "value": {"amount": 8}, "bids": [{"id": "e", "value": {"amount": 6}}], "awards": [{"status": "active", "bid_id": "e"}]}
+    got = {r["bid_id"]: (r["lot_id"], r["won_lot"], r["discount"]) for r in tenders.bids_by_lot(tender_frame(spark, one, two, none)).collect()}
+    assert got == {"b": ("l", True, None), "d": ("u", True, None), "e": ("v", True, 0.25)}
+
+
+def test_states_of_bids_and_the_last_active_award(spark):
+    price = lambda x: [{"relatedLot": "l", "value": {"amount": x}}]
+    states = {"b1": "invalid", "b2": "pending", "b3": "deleted", "b4": "draft", "b5": "invalid.pre-qualification", "b6": None}
+    doc = {
+        "id": "t", "tenderID": "T", "lots": [{"id": "l", "value": {"amount": 10}}, {"id": "m"}], "items": [{"relatedLot": "l", "classification": {"id": "45000000-1"}}, {"relatedLot": "l", "classification": {"id": "33000000-1"}}, {"classification": {"id": "33000000-1"}}],
+        "bids": [{"id": b, "status": s, "lotValues": price(i)} for i, (b, s) in enumerate(states.items(), 1)],
+        "awards": [{"id": "x", "status": "active", "bid_id": "b1", "lotID": "l"}, {"id": "y", "status": "active", "bid_id": "b2", "lotID": "l"}, {"id": "z", "status": "unsuccessful", "bid_id": "b6", "lotID": "l"}],
+        "contracts": [{"id": "k", "awardID": "y", "value": {"amount": 2, "amountNet": 2}, "period": {"endDate": "2020-01-01T00:00:00Z"}}, {"id": "j", "awardID": "y", "status": "cancelled", "dateSigned": "2021-01-01"}],
+    }
+    registry = {"id": "k", "status": "terminated", "value": {"amount": 3, "amountNet": 3}, "amountPaid": {"amount": 1}, "period": {"endDate": "2020-05-01T00:00:00Z"}, "changes": [{"date": "2020-02-01T00:00:00Z", "status": "active", "rationaleTypes": ["durationExtension"]}, {"rationaleTypes": "taxRate"}]}
+    rows = tender_frame(spark, doc, registry)
+    bids = {r["bid_id"]: r for r in tenders.bids_by_lot(rows).collect()}
+    assert {b: r["rank_in_lot"] for b, r in bids.items()} == {"b1": 1, "b2": 2, "b3": None, "b4": None, "b5": None, "b6": 3}
+    assert [b for b, r in bids.items() if r["won_lot"]] == ["b2"] and [b for b, r in bids.items() if r["disqualified"]] == ["b6"] and bids["b2"]["discount"] == 0.8
+    lots = {r["lot_id"]: r for r in tenders.lot_frame(rows).collect()}
+    # the first met of equally frequent codes; all items where a lot has none
+    assert (lots["l"]["division"], lots["m"]["division"], lots["l"]["only_lot"]) == ("45", "33", False)
+    change = tenders.registry_rows(rows).first()
+    assert (change["n_changes"], change["n_tax_rate"], change["n_duration_extension"], change["first_change"]) == (2, 1, 1, None) and change["first_duration_change"] is not None
+    label = {r["lot_id"]: r for r in tenders.lot_outcomes(rows).collect()}["l"]
+    assert (label["contract_id"], label["duration_extension"], label["days_extended_gt90"], label["value_growth_gt10"], label["cancelled"], label["underexecuted"]) == ("k", 1, 1, 1, 0, 1)
+    assert tenders.tenders(rows).first()["n_bids"] == 3 and tenders.lot_outcomes(rows.limit(0)).count() == 0

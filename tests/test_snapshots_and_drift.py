@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from plumbline.operators.drift import schema_changes, unified_table
+from plumbline.operators.drift import alternatives, path_unions, schema_changes, unified_table
 from plumbline.operators.snapshots import project_changes, project_snapshots, snapshot_changes
 
 D = [dt.date(2019 + i, 3, 31) for i in range(4)]
@@ -95,3 +95,33 @@ def test_drift(spark):
     assert rows["a-13", 2]["project_name"] is None and rows["a-13", 0]["money_header_implies"] == "30/09/2012"
     empty = publications(spark, files).limit(0)
     assert schema_changes(empty, calendar(spark, cal).limit(0)).count() == 0 and unified_table(empty, calendar(spark, cal)).count() == 0
+
+
+def test_unions_per_path_and_appearing_alternatives(spark):
+    files = {
+        "a-13": [{"WLC approved": 3.5, "Aims": "x"}, {"WLC approved": {"amount": 3, "by": [1, {"k": "v"}]}}],
+        "a-15": [{"WLC approved": {"amount": "3", "by": []}, "Aims": ["x", None]}],
+        "a-16": [{"Aims": ["x"], "RAG": "G"}],
+    }
+    cal = [(s, "a", 2000 + int(s[2:]), None) for s in files]
+    unions = {(r["publication_slug"], r["field_name"], r["path"]): r["types"] for r in path_unions(publications(spark, files)).collect()}
+    wlc = {k[2]: v for k, v in unions.items() if k[:2] == ("a-13", "wlc_baseline_gbp_m")}
+    assert wlc == {"$": ["number", "object"], "$.amount": ["number"], "$.by": ["array"], "$.by[]": ["number", "object"], "$.by[].k": ["string"]}
+    got = {tuple(r) for r in alternatives(publications(spark, files), calendar(spark, cal)).collect()}
+    w, d = "wlc_baseline_gbp_m", "description"
+    assert got == {
+        ("a-15", w, "$", "number", "vanished"), ("a-15", w, "$.amount", "string", "appeared"), ("a-15", w, "$.amount", "number", "vanished"), ("a-15", w, "$.by[]", "number", "vanished"), ("a-15", w, "$.by[]", "object", "vanished"),
+        ("a-15", w, "$.by[].k", "string", "vanished"), ("a-15", d, "$", "string", "vanished"), ("a-15", d, "$", "array", "appeared"), ("a-15", d, "$[]", "string", "appeared"),
+    }
+    assert alternatives(publications(spark, files).limit(0), calendar(spark, cal)).count() == 0
+
+
+def test_branches_units_and_repeated_headers(spark):
+    files = {"a-13": [{"WLC approved (£k)": 2500, "Lifetime cost": "£3bn", "Expected benefits": {"amount": 4, "unit": "£bn"}}, {"WLC approved (£k)": None, "Lifetime cost": "7"}, {}]}
+    rows = {r["row_no"]: r for r in unified_table(publications(spark, files), calendar(spark, [])).collect()}
+    # the least header counts, the other one of the same field is kept beside
+    assert rows[0]["wlc_baseline_gbp_m_value"] == 3000.0 and [m["header"] for m in rows[0]["more"]] == ["WLC approved (£k)"] and rows[0]["benefits_baseline_gbp_m_value"] == 4000.0
+    assert rows[0]["wlc_baseline_gbp_m__string"] == "£3bn" and rows[1]["wlc_baseline_gbp_m__number"] is None and rows[1]["wlc_baseline_gbp_m_value"] == 7.0 and not rows[1]["more"]
+    assert rows[2]["wlc_baseline_gbp_m"] is None
+    other = {"a-13": [{"WLC approved (£k)": 2500}]}
+    assert unified_table(publications(spark, other), calendar(spark, [])).first()["wlc_baseline_gbp_m_value"] == 2.5

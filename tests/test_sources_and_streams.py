@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 
+from plumbline.session import checkpoint_folder
 from plumbline.sources import readers, writers
 from plumbline.streaming import feeds
 
@@ -95,3 +96,10 @@ def test_running_counts_keep_state(spark, feed):
     out = feeds.run_once(feeds.running_counts(feeds.read_feed(spark, folder, batch.schema, 1), "user", "at", "v"), "w3", "update")
     top = {r["user"]: r["m"] for r in out.groupBy("user").agg({"n_so_far": "max"}).withColumnRenamed("max(n_so_far)", "m").collect()}
     assert top == {"u0": 10, "u1": 10, "u2": 10, "u3": 10}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    assert checkpoint_folder("file:///shared", "spark://host:7077") == "file:///shared" and checkpoint_folder(None, "local[4]")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_folder(None, master)

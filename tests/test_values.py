@@ -12,6 +12,7 @@ from plumbline.functions.values import (
     is_cut_text,
     is_filler,
     life_cost_parts,
+    unit_around,
     note_unit,
     pounds,
     rating,
@@ -88,18 +89,27 @@ def test_amounts(spark, cell, narrative, value):
 
 
 @pytest.mark.parametrize(
-    ("text", "number", "unit"),
+    ("text", "number", "factor"),
     [
-        ("WLC of £0.51082B agreed.", 0.51082, "£ B"), ("In-year spend was £3m; the total cost over life remains 9 thousand.", 9, "thousand"), ("Lifetime cost now stands at GBP 1.2 bn against an in-year spend of 3m.", 1.2, "GBP bn"),
-        ("Of the £5m budgeted this year most is spent. Total life-cycle cost: £248,040 thousand.", 248040, "£ thousand"), ("The whole life cost is three billion pounds.", 3, "billion"),
-        ("An underspend of £3m was reported this year.", None, None), (None, None, None), ("", None, None),
+        ("WLC of £0.51082B agreed.", 0.51082, 1e9), ("In-year spend was £3m; the total cost over life remains 9 thousand.", 9, 1e3), ("Lifetime cost now stands at GBP 1.2 bn against an in-year spend of 3m.", 1.2, 1e9),
+        ("Of the £5m budgeted this year most is spent. Total life-cycle cost: £248,040 thousand.", 248040, 1e3), ("The whole life cost is three billion pounds.", 3, 1e9), ("WLC: £'000 1,500 in all", 1500, 1e3),
+        ("WLC is 1,500 (£000) in all", 1500, 1e3), ("The lifetime cost is 2.5 mio GBP.", 2.5, 1e6), ("The lifetime cost is 7 and grows by 3 million a year.", 7, None), ("The whole life cost is £992.", 992, 1.0),
+        ("An underspend of £3m was reported this year.", None, None), ("The one whole-life figure is one of many.", None, None), (None, None, None), ("", None, None),
     ],
 )
-def test_whole_life_cost_in_prose(spark, text, number, unit):
-    row = spark.createDataFrame([(text,)], "t string").select(life_cost_parts(F.col("t")).alias("x")).first()["x"]
+def test_whole_life_cost_in_prose(spark, text, number, factor):
+    parts = spark.createDataFrame([(text,)], "t string").select(life_cost_parts(F.col("t")).alias("x"))
+    row = parts.select("x.number", unit_around(F.col("x.before"), F.col("x.after")).alias("factor")).first()
     assert (None if row["number"] is None else float(row["number"])) == number
     if number is not None:
-        assert row["unit"] == unit
+        assert row["factor"] == factor
+
+
+def test_unit_of_a_very_long_text(spark):
+    """Whatever stands between, the unit behind the number of the whole-life cost is met, and a note at the end of a long row."""
+    text = "The whole life cost " + "which the board has seen often " * 60 + "is 12.5 billion of pounds, " + "and so on " * 80
+    row = spark.createDataFrame([(text,)], "t string").select(life_cost_parts(F.col("t")).alias("x")).select("x.number", unit_around(F.col("x.before"), F.col("x.after")).alias("f")).first()
+    assert (float(row["number"]), row["f"]) == (12.5, 1e9)
 
 
 def test_amount_operator(spark):
