@@ -14,6 +14,7 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,9 @@ imbecil basura cerdo asqueroso inutil puta gilipollas cabron zorra
 ідіот нікчема свиня тупа тупий тварюка покидьок шльондра жалюгідний сука дурень мерзота
 """.split()
 THREATS = """
-choke kill dead die dies bullet rope hang burn throat bury beat crawl strangle stab shoot hell
-crever crevent creve tuer egorger umbringen toten erwurgen mueras matar ahorcar здохни вбити
+choke kill dead die dies death bullet rope hang burn throat bury beat crawl strangle stab shoot hell break smash slit drown hunt fist
+blood bleed bones teeth fingers kids crever crevent creve tuer egorger mort umbringen toten erwurgen sterben mueras matar ahorcar muerte
+здохни вбити смерть
 """.split()
 DEHUMAN = """
 rat rats vermin parasite parasites cockroach cockroaches monkey monkeys animals filth subhuman dogs scum
@@ -119,14 +121,31 @@ _UPPER = re.compile("[A-ZÀ-ÖØ-ÞЀ-Я]+")
 
 
 class Words:
-    """Skeletons of words, remembered; the memory is emptied when it has grown large."""
+    """Skeletons of words, remembered; the memory is emptied when it has grown large.
+
+    A word's code is twice the number of its skeleton, and one more for a disguised word.
+    """
 
     def __init__(self, most: int = 300_000):
-        self.known: dict[str, tuple[str, bool]] = {}
         self.most = most
-
-    def sentences(self, text: str) -> list[tuple[list[str], int]]:
-        """(skeletons, disguised words) of each sentence with a word."""
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+        self.skeletons: list[str] = []
+
+    def _code(self, word: str) -> int:
+        skeleton, odd = plain_word(word)
+        number = self.numbers.get(skeleton)
+        if number is None:
+            number = self.numbers[skeleton] = len(self.skeletons)
+            self.skeletons.append(skeleton)
+        code = self.known[word] = 2 * number + odd
+        return code
+
+    def codes(self, text: str) -> list[tuple[list[int], int]]:
+        """(codes of words, further disguises) of each sentence with a word."""
         hidden = 0
         if not text.isascii():
             cleaned = _HIDDEN.sub("", text)
@@ -134,13 +153,10 @@ class Words:
             text = unicodedata.normalize("NFKC", cleaned)
         out = []
         known = self.known
-        if len(known) > self.most:
-            known.clear()
+        some_spaced = _SPACED.search(text) is not None
         for part in _SENTENCE.split(text):
-            if not part:
-                continue
             spaced = 0
-            if _SPACED.search(part):
+            if some_spaced and _SPACED.search(part):
                 def join(m):
                     nonlocal spaced
                     spaced += 1
@@ -149,19 +165,23 @@ class Words:
                     return letters if letters[0].lower() != "a" or m.group(1) != " " or len(letters) < 4 else f"a {letters[1:]}"
 
                 part = _SPACED.sub(join, part)
-            words, odd = [], spaced
-            for word in _WORD.findall(part):
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = plain_word(word)
-                words.append(found[0])
-                odd += found[1]
+            words = _WORD.findall(part)
             if words:
-                out.append((words, odd))
+                found = [known.get(w) for w in words]
+                if None in found:
+                    found = [self._code(w) if c is None else c for w, c in zip(words, found, strict=True)]
+                out.append((found, spaced))
         if hidden and out:
             out[0] = (out[0][0], out[0][1] + 1)
         return out
 
+    def sentences(self, text: str) -> list[tuple[list[str], int]]:
+        """(skeletons, disguised words) of each sentence with a word."""
+        if len(self.known) > self.most:
+            self.clear()
+        found = self.codes(text)
+        return [([self.skeletons[c >> 1] for c in codes], odd + sum(c & 1 for c in codes)) for codes, odd in found]
+
 
 def _nearness(bits: np.ndarray, sentence: np.ndarray, which: int, other: int) -> np.ndarray:
     """Per word of ``which`` 1 / (1 + words to the nearest word of ``other`` in its sentence), else 0."""
@@ -176,6 +196,26 @@ def _nearness(bits: np.ndarray, sentence: np.ndarray, which: int, other: int) ->
     return np.where(mine & (gap < n), 1.0 / (1.0 + gap), 0.0)
 
 
+def _matrix(words: np.ndarray, sizes: np.ndarray, odd: np.ndarray, bits_of: np.ndarray, weight_of: np.ndarray) -> np.ndarray:
+    """A row of NAMES per sentence from the numbers of all words of all sentences."""
+    count = len(sizes)
+    sentence = np.repeat(np.arange(count), sizes)
+    bits = bits_of[words]
+
+    def total(values):
+        return np.bincount(sentence, values, count)
+
+    lists = [total((bits >> k) & 1) for k in range(7)]
+    near = [np.minimum(total(_nearness(bits, sentence, which, other)), 2.0) for which, other in NEAR]
+    # each word of a sentence once: those that weigh something, in order of sentence and number
+    some = np.flatnonzero(weight_of[words])
+    once = np.unique(sentence[some] * len(weight_of) + words[some])
+    where, weights = once // len(weight_of), weight_of[once % len(weight_of)]
+    leaning = np.bincount(where, weights, count)
+    heavy = np.bincount(where, weights > 2.0, count)
+    return np.column_stack([*lists, *near, odd, np.minimum(odd, 1) * lists[0], leaning / (sizes + 2), leaning, heavy, heavy / (sizes + 2)])
+
+
 def sentence_matrix(sentences: list[tuple[list[str], int]], lexicon: dict[str, float]) -> np.ndarray:
     """A row of NAMES per sentence, worked out for all words of all sentences at once."""
     count = len(sentences)
@@ -185,20 +225,13 @@ def sentence_matrix(sentences: list[tuple[list[str], int]], lexicon: dict[str, f
     odd = np.fromiter((o for _, o in sentences), np.float64, count)
     number: dict[str, int] = {}
     words = np.fromiter((number.setdefault(w, len(number)) for ws, _ in sentences for w in ws), np.int64, int(sizes.sum()))
-    bits = np.fromiter((_BITS.get(w, 0) for w in number), np.int64, len(number))[words]
-    weight = np.fromiter((lexicon.get(w, 0.0) for w in number), np.float64, len(number))
-    sentence = np.repeat(np.arange(count), sizes)
+    return _matrix(words, sizes, odd, *_tables(number, lexicon))
 
-    def total(values):
-        return np.bincount(sentence, values, count)
 
-    lists = [total((bits >> k) & 1) for k in range(7)]
-    near = [np.minimum(total(_nearness(bits, sentence, which, other)), 2.0) for which, other in NEAR]
-    once = np.unique(sentence * len(number) + words)
-    where, weights = once // len(number), weight[once % len(number)]
-    leaning = np.bincount(where, weights, count)
-    heavy = np.bincount(where, weights > 2.0, count)
-    return np.column_stack([*lists, *near, odd, np.minimum(odd, 1) * lists[0], leaning / (sizes + 2), leaning, heavy, heavy / (sizes + 2)])
+def _tables(skeletons, lexicon: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(lexicons as bits, leaning) of skeletons in their order."""
+    n = len(skeletons)
+    return np.fromiter((_BITS.get(w, 0) for w in skeletons), np.int64, n), np.fromiter((lexicon.get(w, 0.0) for w in skeletons), np.float64, n)
 
 
 def fixed_margin(x: np.ndarray) -> np.ndarray:
@@ -226,18 +259,22 @@ def document_matrix(documents: list[list[tuple[list[str], int]]], numbers: list[
     out = np.zeros((len(documents), len(DOCUMENT_NAMES)))
     if not len(documents):
         return out
-    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
     flat = [s for d in documents for s in d]
-    rows = sentence_matrix(flat, lexicon)
+    return _documents(sentence_matrix(flat, lexicon), np.array([len(w) for w, _ in flat], float), np.array([len(d) for d in documents]), numbers)
+
+
+def _documents(rows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, numbers: list[tuple[int, int, int]]) -> np.ndarray:
+    """Document features from rows of sentences, their lengths, the sentences per document and its text's numbers."""
+    out = np.zeros((len(sizes), len(DOCUMENT_NAMES)))
     filled = np.flatnonzero(sizes)
     starts = (np.cumsum(sizes) - sizes)[filled]
-    margin = np.full(len(documents), -6.0)
-    n = np.zeros(len(documents))
-    insults = np.zeros(len(documents))
+    margin = np.full(len(sizes), -6.0)
+    n = np.zeros(len(sizes))
+    insults = np.zeros(len(sizes))
     if len(filled):
         out[filled, : len(NAMES)] = np.maximum.reduceat(rows, starts, axis=0)
         margin[filled] = np.maximum.reduceat(fixed_margin(rows), starts)
-        n[filled] = np.add.reduceat(np.fromiter((len(w) for w, _ in flat), np.float64, len(flat)), starts)
+        n[filled] = np.add.reduceat(lengths, starts)
         insults[filled] = np.add.reduceat(rows[:, 0], starts)
     marks, capitals, length = np.array(numbers, float).T
     out[:, len(NAMES) :] = np.column_stack([margin, marks / (n + 5), capitals / (length + 1), np.log1p(n), insults / (n + 5)])
@@ -357,7 +394,15 @@ class Model:
         filled = [i for i, t in enumerate(texts) if t and not t.isspace()]
         if not filled:
             return out
-        x = document_matrix([words.sentences(texts[i]) for i in filled], [text_numbers(texts[i]) for i in filled], self.lexicon)
+        if len(words.known) > words.most:
+            words.clear()
+        coded = [words.codes(texts[i]) for i in filled]
+        flat = [s for d in coded for s in d]
+        lengths = np.fromiter((len(c) for c, _ in flat), np.int64, len(flat))
+        codes = np.fromiter(chain.from_iterable(c for c, _ in flat), np.int64, int(lengths.sum()))
+        odd = np.fromiter((o for _, o in flat), np.float64, len(flat)) + np.bincount(np.repeat(np.arange(len(flat)), lengths), codes & 1, len(flat))
+        rows = _matrix(codes >> 1, lengths, odd, *_tables(words.skeletons, self.lexicon)) if flat else np.zeros((0, len(NAMES)))
+        x = _documents(rows, lengths.astype(float), np.array([len(d) for d in coded]), [text_numbers(texts[i]) for i in filled])
         margin = x[:, AT_MARGIN]
         if self.trees is not None:
             margin = self.trees.margin(x, margin)
@@ -402,7 +447,7 @@ def _leanings(a: Column, b: Column, n_pos: list[float], n_neg: list[float]) -> C
     for k in range(FOLDS + 1):
         x, y = F.get(a, k), F.get(b, k)
         odds = F.log((x + 0.3) / (n_pos[k] + 1)) - F.log((y + 0.3) / (n_neg[k] + 1))
-        out.append(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), odds)) * (x + y) / (x + y + 1))
+        out.append(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), odds)) * (x + y) / (x + y + 3))
     return F.array(*out)
 
 
