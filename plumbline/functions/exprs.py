@@ -151,3 +151,48 @@ def noise_scores(text: Column, least: int = 500) -> Column:
     single = F.size(F.filter(words, lambda w: (F.length(w) == 1) & ~F.lower(w).isin("a", "i")))
     enough = n >= least
     return F.struct(F.when(enough, 1000.0 * marks / n).alias("markers"), F.when(enough, single / n).alias("singles"))
+
+
+def is_competed(code: Column, offers: Column) -> Column:
+    """Fully competed (codes A and D) with two offers or more; false for nulls."""
+    return F.coalesce(code.isin("A", "D") & (offers.cast("double") >= 2), F.lit(False))
+
+
+#: The chance of no material problem that a rating stands for, by scale.
+IMPLIED_OK = {"five": {"G": 0.90, "AG": 0.75, "A": 0.50, "AR": 0.25, "R": 0.10}, "three": {"G": 0.85, "A": 0.50, "R": 0.15}}
+
+
+def implied_adverse(rating: Column, scale: Column) -> Column:
+    """The chance of trouble that a rating implies on its scale; null for a rating that the scale doesn't have."""
+    out = F.lit(None).cast("double")
+    for name, table in IMPLIED_OK.items():
+        for value, p in table.items():
+            out = F.when((scale == name) & (rating == value), F.lit(1 - p)).otherwise(out)
+    return out
+
+
+#: Report categories by their lower-case spellings.
+CATEGORIES = {
+    "information and communications technology (ict)": "ICT", "ict": "ICT", "government transformation and service delivery": "Government Transformation and Service Delivery",
+    "infrastructure and construction": "Infrastructure and Construction", "military capability": "Military Capability",
+}
+#: Departments that are linked as one although they are reported apart.
+LINKED_DEPARTMENTS = {"BEIS/DBT": "BEIS lineage", "DECC/DESNZ": "BEIS lineage"}
+
+
+def renamed(value: Column, names: dict[str, str], key: Column | None = None) -> Column:
+    """The name that a table has for a value (looked up by ``key``), else the value itself."""
+    found = F.lit(None).cast("string")
+    for old, new in names.items():
+        found = F.when((value if key is None else key) == old, F.lit(new)).otherwise(found)
+    return F.coalesce(found, value)
+
+
+def canonical_category(value: Column) -> Column:
+    """A report category in its usual spelling; null for blanks."""
+    key = F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
+    return F.when(~key.isin("", "nan", "none"), renamed(F.trim(value), CATEGORIES, key))
+
+
+def linking_group(department: Column) -> Column:
+    return renamed(department, LINKED_DEPARTMENTS)

@@ -156,7 +156,7 @@ def cell_parts(cell: Column) -> Column:
 
 
 #: What introduces a statement of the unit of all figures in a row ...
-_NOTE = r"(?i)\b(?:figures|amounts|values|sums|entered|stated|money)\b([^.\d,;]*(?:£\s?'?000[^.\d,;]*){0,4})"
+_NOTE = r"(?i)\b(?:figures|amounts|values|sums|entered|stated|money)\b([^.\d,;£]*(?:£(?:\s?'?000)?[^.\d,;£]*){0,50})"
 #: ... and what introduces the whole-life cost in a narrative.
 _LIFE = r"(?i)(?:\bwlc\b|whole[\s-]*life|life[\s-]?cycle|life[\s-]?time|over (?:its |the )?life)"
 

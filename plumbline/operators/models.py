@@ -6,12 +6,14 @@ indicator, categories their frequency order with a level for unseen ones.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,14 +114,35 @@ def fit_isotonic(train: DataFrame, x: str, y: str) -> tuple[list[float], list[fl
     return list(model.boundaries.toArray()), list(model.predictions.toArray())
 
 
-def isotonic_step(value, knots: tuple[list[float], list[float]]):
-    """The step at or below the value, clamped at both ends."""
-    xs, ys = knots
-    out = F.lit(float(ys[0]))
-    for x, y in zip(xs, ys, strict=True):
-        out = F.when(value >= x, F.lit(float(y))).otherwise(out)
-    return F.when(value.isNotNull(), out)
+def isotonic_step(value: Column, knots: tuple[list[float], list[float]]) -> Column:
+    """The step at or below the value, clamped at both ends; found by bisection, so many knots cost little."""
+    xs, ys = np.array(knots[0]), np.array(knots[1])
 
+    @F.pandas_udf("double")
+    def step(values: pd.Series) -> pd.Series:
+        at = np.clip(np.searchsorted(xs, values.to_numpy(float), "right") - 1, 0, len(xs) - 1)
+        return pd.Series(np.where(values.isna(), np.nan, ys[at]), index=values.index).astype("Float64").mask(values.isna())
 
-def scaler(inputs: str = "features", output: str = "scaled") -> StandardScaler:
-    return StandardScaler(inputCol=inputs, outputCol=output, withMean=False)
+    return step(value.cast("double"))
+
+
+def isotonic_levels(rows: DataFrame, by: list[str], level: str, y: str) -> DataFrame:
+    """(by, level, n, fitted): non-decreasing means over a scale of few levels, per group and without a driver.
+
+    Of a least-squares fit the value at a level is the greatest, over starts at or below it, of the least mean, over ends at or
+    above it, of the levels from start to end.  Rows with a null take no part.  A group's levels, at most 1,000, stand in one array.
+    """
+    counts = rows.where(F.col(level).isNotNull() & F.col(y).isNotNull()).groupBy(*by, level).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    held = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(level).alias("level"), "n", "s"))).alias("c"))
+    held = held.withColumn("c", F.when(F.size("c") <= 1000, F.col("c")).otherwise(F.raise_error(F.lit("a scale has at most 1,000 levels"))))
+
+    def total(part, field):
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x[field])
+
+    def mean(i, k):
+        part = F.slice("c", i + 1, k - i + 1)
+        return total(part, "s") / total(part, "n")
+
+    size = F.size("c")
+    fit = F.transform("c", lambda x, j: F.array_max(F.transform(F.sequence(F.lit(0), j), lambda i: F.array_min(F.transform(F.sequence(j, size - 1), lambda k: mean(i, k))))))
+    return held.select(*by, F.inline(F.arrays_zip("c", fit.alias("fitted")))).select(*by, F.col("c.level").alias(level), F.col("c.n").alias("n"), "fitted")

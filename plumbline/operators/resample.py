@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scoring import weighted_pearson
+
 
 def draw_key(ident: Column, seed: Column | int) -> Column:
     seed = F.lit(seed) if isinstance(seed, int) else seed
@@ -31,11 +33,26 @@ def positions(rows: DataFrame, by: list[str], key: str, tie: str, out: str) -> D
 
 def permute_within(rows: DataFrame, block: list[str], ident: str, value: str, draws: int, out: str = "shuffled") -> DataFrame:
     """(draw, block, ident, value, shuffled) for draws 0..n-1: ``value`` dealt anew within every block."""
+    own = positions(rows.select(*block, ident, value).withColumn("__key", draw_key(F.col(ident), -1)), block, "__key", ident, "__at").drop("__key")
     drawn = rows.select(*block, ident, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    by = ["draw", *block]
-    own = positions(drawn.withColumn("__key", draw_key(F.col(ident), -1)), by, "__key", ident, "__at").drop("__key")
-    dealt = positions(drawn.withColumn("__key", draw_key(F.col(ident), F.col("draw"))), by, "__key", ident, "__at")
-    return own.join(dealt.select(*by, F.col(value).alias(out), "__at"), [*by, "__at"]).drop("__at")
+    dealt = positions(drawn.withColumn("__key", draw_key(F.col(ident), F.col("draw"))), ["draw", *block], "__key", ident, "__at")
+    # where a row stands does not depend on the draw, so it is worked out once
+    return own.join(dealt.select("draw", *block, F.col(value).alias(out), "__at"), [*block, "__at"]).select("draw", *block, ident, value, out)
+
+
+def permute_masked(rows: DataFrame, mask: Column, block: list[str], ident: str, value: str, draws: int, out: str = "shuffled") -> DataFrame:
+    """As ``permute_within``, where only rows that ``mask`` selects are dealt anew; the others keep their value."""
+    marked = rows.select(*block, ident, value, F.coalesce(mask, F.lit(False)).alias("__m"))
+    dealt = permute_within(marked.where("__m"), block, ident, value, draws, out)
+    kept = marked.where("not __m").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(out, F.col(value))
+    return dealt.unionByName(kept.drop("__m"))
+
+
+def bootstrap_correlation(groups: DataFrame, unit: str, x: str, y: str, draws: int, weight: str | None = None) -> DataFrame:
+    """(draw, corr): the correlation over groups drawn with Poisson weights, each group weighing its draw times ``weight``."""
+    drawn = bootstrap(groups.where(F.col(x).isNotNull() & F.col(y).isNotNull()), unit, draws)
+    w = F.col("weight") * (F.col(weight) if weight else F.lit(1.0))
+    return drawn.groupBy("draw").agg(weighted_pearson(F.col(x), F.col(y), w).alias("corr"))
 
 
 def poisson_weight(ident: Column, draw: Column) -> Column:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules of this package that register queries.
-NAMES = ("known_at", "nested_records", "quantities", "changes", "drift", "ledger", "scoring", "lots", "panels", "documents", "streams", "models", "parsing", "tenders", "ladders")
+NAMES = ("known_at", "nested_records", "quantities", "changes", "drift", "ledger", "scoring", "lots", "panels", "documents", "streams", "models", "parsing", "tenders", "ladders", "evidence")
 
 
 def modules() -> list:

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..operators import boosting as G
 from ..operators import ledger as L
 from ..operators import models as M
 from ..operators import scoring as S
+from ..operators.ranks import exact_quantiles
 from ..session import table
 
 NUMERIC = ["log_base_obligation", "log_base_ceiling", "option_heaviness", "planned_duration_days", "number_of_offers_received", "recipient_prior_award_count", "office_prior_slip_rate"]
@@ -61,11 +63,52 @@ def text_logit(spark, sf_dir):
 
 def isotonic_step(spark, sf_dir):
     """Forecasts recalibrated by a step function fitted on training rows, scored on test rows."""
-    rows = S.known(table(spark, sf_dir, "predictions").distinct()).withColumn("p", F.round("p", 2))
+    rows = S.known(table(spark, sf_dir, "predictions").distinct())
     knots = M.fit_isotonic(rows.where("split = 'train'"), "p", "y")
     test = rows.where("split = 'test'").withColumn("q", M.isotonic_step(F.col("p"), knots))
     return test.groupBy("label").agg(F.count("*").alias("n"), F.round(S.brier(), 6).alias("brier"), F.round(S.brier("y", "q"), 6).alias("recalibrated"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_ladder, permutation_importance, partial_dependence, text_logit, isotonic_step)}
+HISTORY = ("recipient_prior_award_count", "office_prior_slip_rate")
+
+
+def _cells(spark, sf_dir):
+    """Awards of every label and horizon as rows of (label, horizon, y), with features at the award's start."""
+    panel = L.award_panel(table(spark, sf_dir, "action_ledger")).withColumn("split", E.split_of(F.col("base_fy"))).where("split is not null")
+    each = [F.struct(F.lit(name).alias("label"), F.lit(h).alias("horizon"), F.when(F.col(f"qualifies_{h}"), F.col(f"{name}_{h}").cast("double")).alias("y")) for name in ("schedule_slip_gt90", "ceiling_growth_gt25") for h in (12, 24, 36)]
+    return panel.select(L.KEY, "split", *NUMERIC, *CODES, F.inline(F.array(*each))).where("y is not null")
+
+
+def booster_ladder(spark, sf_dir):
+    """Per label and horizon the Brier score on test awards of the training rate, and of trees without and with histories."""
+    rows = _cells(spark, sf_dir)
+    cell = ["label", "horizon"]
+    plain = [c for c in NUMERIC if c not in HISTORY]
+    base = rows.where("split = 'train'").groupBy(*cell).agg(F.avg("y").alias("p"))
+    test = rows.where("split = 'test'")
+    scored = test.join(base, cell).select(*cell, F.lit("base rate").alias("rung"), "y", "p")
+    for rung, numeric in (("trees", plain), ("trees with history", NUMERIC)):
+        models = G.fit_groups(rows, cell, L.KEY, "split", "y", numeric, CODES)
+        scored = scored.unionByName(G.predict_groups(test, models, cell, numeric, CODES).select(*cell, F.lit(rung).alias("rung"), "y", F.col("forecasts")[0].alias("p")))
+    return S.metric_bundle(scored, [*cell, "rung"]).join(S.auc_by(scored, [*cell, "rung"]).select(*cell, "rung", "auc"), [*cell, "rung"])
+
+
+def quantile_boosters(spark, sf_dir):
+    """Pinball losses on test awards of training quantiles and of boosted ones, for the log of the base obligation, cut at
+    the training rows' 1st and 99th percentile."""
+    panel = L.award_panel(table(spark, sf_dir, "action_ledger")).withColumn("split", E.split_of(F.col("base_fy"))).where("split is not null and log_base_obligation is not null")
+    numeric = [c for c in NUMERIC if c != "log_base_obligation"]
+    rows = panel.select(L.KEY, "split", *numeric, *CODES, F.col("log_base_obligation").alias("raw"), F.lit("obligation").alias("target"))
+    cut = exact_quantiles(rows.where("split = 'train'"), ["target"], "raw", [0.01, 0.1, 0.5, 0.9, 0.99], "q")
+    rows = rows.join(F.broadcast(cut), "target").withColumn("y", F.greatest(F.col("q")[0], F.least("raw", F.col("q")[4])))
+    levels = (0.1, 0.5, 0.9)
+    models = G.fit_groups(rows.drop("q"), ["target"], L.KEY, "split", "y", numeric, CODES, levels)
+    scored = G.predict_groups(rows.where("split = 'test'"), models, ["target"], numeric, CODES)
+    each = F.array(*[F.struct(F.lit(t).alias("tau"), F.col("q")[i + 1].alias("constant"), F.col("forecasts")[i].alias("boosted")) for i, t in enumerate(levels)])
+    long = scored.select("y", F.inline(each))
+    loss = lambda c: F.avg(F.greatest(F.col("tau") * (F.col("y") - F.col(c)), (F.col("tau") - 1) * (F.col("y") - F.col(c))))
+    return long.groupBy("tau").agg(F.count("*").alias("n"), loss("constant").alias("constant_loss"), loss("boosted").alias("boosted_loss"))
+
+
+QUERIES = {f.__name__: f for f in (booster_ladder, quantile_boosters, gbt_ladder, permutation_importance, partial_dependence, text_logit, isotonic_step)}
 SQL = {}

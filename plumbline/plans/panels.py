@@ -166,11 +166,11 @@ def permute_within_block(spark, sf_dir):
 
 
 def permutation_null(spark, sf_dir):
-    """Correlation of balance and order total against 40 shuffles within nations: (b + 1) / (B + 1)."""
+    """Correlation of balance and order total against 200 shuffles within nations: (b + 1) / (B + 1)."""
     totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("t"))
     rows = _customers(spark, sf_dir).join(totals, "id")
     real = rows.agg(correlation("x", "t").alias("real"))
-    drawn = B.permute_within(rows.select("block", "id", "x"), ["block"], "id", "x", 40).join(totals, "id").groupBy("draw").agg(correlation("shuffled", "t").alias("c"))
+    drawn = B.permute_within(rows.select("block", "id", "x"), ["block"], "id", "x", 200).join(totals, "id").groupBy("draw").agg(correlation("shuffled", "t").alias("c"))
     value = real.first()[0]
     out = drawn.agg(F.count("*").alias("draws"), F.avg("c").alias("null_mean"), F.count_if(F.abs(F.round("c", 9)) >= F.lit(abs(round(value or 0.0, 9)))).alias("b"))
     return out.select(F.lit(round(value or 0.0, 6)).alias("real"), "draws", F.round("null_mean", 6).alias("null_mean"), F.round((F.col("b") + 1) / (F.col("draws") + 1), 6).alias("p_value"))
@@ -287,8 +287,8 @@ SQL = {
       f as (select 'model' as forecast, y, p as s from t union all select 'with history', y, q from t), g as (select forecast, y, rank() over (partition by forecast order by s) + (count(*) over (partition by forecast, s) - 1) / 2.0 as k from f)
       select forecast, sum(y) as n_pos, sum(1 - y) as n_neg, round(cast(sum(k) filter (y = 1) as double) / (sum(y) * sum(1 - y)) - (sum(y) + 1) / (2 * sum(1 - y)), 6) as auc from g group by 1""",
     "permute_within_block": f"with {_permuted(3)} select draw, block, id, shuffled from s",
-    "permutation_null": f"""with {_permuted(40)}, t as (select o_custkey as id, cast(sum(cast(o_totalprice as decimal(20,2))) as double) as t from orders group by 1),
-      dd as (select c_custkey as id, c_nationkey as block, c_acctbal as v, cast(unnest(range(40)) as int) as draw from customer where c_custkey in (select id from t)),
+    "permutation_null": f"""with {_permuted(200)}, t as (select o_custkey as id, cast(sum(cast(o_totalprice as decimal(20,2))) as double) as t from orders group by 1),
+      dd as (select c_custkey as id, c_nationkey as block, c_acctbal as v, cast(unnest(range(200)) as int) as draw from customer where c_custkey in (select id from t)),
       aa as (select *, row_number() over (partition by draw, block order by md5(cast(id as varchar) || '#-1'), id) as k from dd), bb as (select draw, block, v as shuffled, row_number() over (partition by draw, block order by md5(cast(id as varchar) || '#' || cast(draw as varchar)), id) as k from dd),
       ss as (select aa.draw, aa.id, bb.shuffled from aa join bb using (draw, block, k)), c as (select draw, corr(shuffled, t) as c from ss join t using (id) group by 1), r as (select corr(c_acctbal, t) as real from customer join t on t.id = c_custkey)
       select round(real, 6) as real, count(*) as draws, round(avg(c), 6) as null_mean, round((count_if(abs(round(c, 9)) >= abs(round(real, 9))) + 1) / (count(*) + 1), 6) as p_value from c, r group by real""",
