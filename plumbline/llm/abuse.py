@@ -32,29 +32,29 @@ TREES, DEPTH, RATE, BINS, FOLDS = 60, 3, 0.15, 32, 4
 # Word lists by category, in English, French, German, Spanish and Ukrainian.
 INSULTS = """
 idiot idiots moron morons cretin cretins imbecile imbeciles halfwit halfwits scumbag scumbags bastard bastards bitch bitches arsehole
-arseholes asshole assholes dipshit dipshits shithead fool fools stupid brainless gutless spineless worthless pathetic filthy
-twofaced twat wanker prick dickhead slut whore coward loser scum swine fuck fucking fucker shit cunt disgusting
-ordure ordures cretin connard connards salope imbecile gueule putain abruti encule
-arschloch versager schlampe vollidiot fresse sau widerliche widerlicher hure wichser drecksau
-imbecil basura cerdo asqueroso inutil puta gilipollas cabron zorra
-ідіот нікчема свиня тупа тупий тварюка покидьок шльондра жалюгідний сука дурень мерзота
+arseholes asshole assholes dipshit dipshits shithead fool fools stupid dumb brainless gutless spineless worthless useless pathetic filthy
+stinking rotten vile ugly liar liars pig pigs twofaced twat wanker prick dickhead slut whore coward loser scum swine fuck fucking fucker shit
+cunt disgusting waste ordure ordures cretin connard connards conne salope salaud imbecile gueule putain abruti encule merde pourri pourrie
+pauvre lache arschloch versager schlampe vollidiot fresse maul sau schwein hund dreck elender elende widerliche widerlicher hure wichser
+drecksau mistkerl imbecil idiota basura cerdo perro perra asqueroso inutil puta mierda gilipollas cabron callate zorra
+ідіот нікчема свиня тупа тупий тварюка покидьок шльондра жалюгідний сука дурень мерзота сволота падло пельку продажна
 """.split()
 THREATS = """
-choke kill dead die dies death bullet rope hang burn throat bury beat crawl strangle stab shoot hell break smash slit drown hunt fist
-blood bleed bones teeth fingers kids crever crevent creve tuer egorger mort umbringen toten erwurgen sterben mueras matar ahorcar muerte
-здохни вбити смерть
+choke kill dead die dies death bullet rope hang burn fire throat neck mouth bury beat crawl walk throw strangle stab shoot hell break smash slit
+drown river hunt fist blood bleed bones teeth fingers kids children address watch sleeping crever crevent creve tuer egorger mort habites
+umbringen toten erwurgen sterben wohnst mueras matar ahorcar muerte vives здохни вбити смерть живеш втечеш
 """.split()
 DEHUMAN = """
-rat rats vermin parasite parasites cockroach cockroaches monkey monkeys animals filth subhuman dogs scum
-ungeziefer ratten vermine ratas parasitos patadas щурів щури звірі паразити
+rat rats vermin parasite parasites cockroach cockroaches monkey monkeys animals breed plague filth subhuman dogs scum pack fence cage
+ungeziefer ratten weggesperrt jagt vermine chasse chasser ratas parasitos patadas encerrarlos echarlos щурів щури звірі паразити гнати женіть
 """.split()
 GROUPS = """
 immigrants immigrant foreigners foreigner cripples cripple women woman gays jews muslims blacks gypsies refugees migrants people
 families them they etrangers etranger gens ils fremden fremde auslander sie gente extranjeros приїжджих приїжджі люди вони їх чужинці
 """.split()
 SEXUAL = """
-sex tits cock naked nude underwear moaning moan stripped porn suck breasts boobs pussy dick rape
-nackt desnuda гола
+sex tits cock naked nude underwear skirt knees legs thighs bed kiss lick moaning moan stripped bent porn suck breasts boobs pussy dick rape
+couche couchant nue seins knien nackt beine brust desnuda piernas tetas cama гола ліжко ноги груди
 """.split()
 SECOND = """
 you your yours yourself u ur tu te ta toi ton tes vous votre du dich dir dein deine euer ihr dein eres tus vuestro usted ти тебе тобі
@@ -447,7 +447,7 @@ def _leanings(a: Column, b: Column, n_pos: list[float], n_neg: list[float]) -> C
     for k in range(FOLDS + 1):
         x, y = F.get(a, k), F.get(b, k)
         odds = F.log((x + 0.3) / (n_pos[k] + 1)) - F.log((y + 0.3) / (n_neg[k] + 1))
-        out.append(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), odds)) * (x + y) / (x + y + 3))
+        out.append(F.greatest(F.lit(-2.0), F.least(F.lit(5.0), odds)) * (x + y) / (x + y + 1))
     return F.array(*out)
 
 
