@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def feature_pipeline(numeric: list[str], codes: list[str], most: int = 64) -> Pipeline:
+def feature_pipeline(numeric: list[str], codes: list[str], most: int = 254) -> Pipeline:
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep", stringOrderType="frequencyDesc") for c in codes]
     imputer = Imputer(inputCols=numeric, outputCols=[f"{c}__n" for c in numeric], strategy="median")
     assembler = VectorAssembler(inputCols=[*(f"{c}__n" for c in numeric), *(f"{c}__missing" for c in numeric), *(f"{c}__k" for c in codes)], outputCol="features")
@@ -56,7 +56,7 @@ def fit_boosted(train: DataFrame, val: DataFrame, numeric: list[str], codes: lis
     """(pipeline model, boosted model, number of trees with the least validation Brier)."""
     pipe = feature_pipeline(numeric, codes).fit(with_missing(train, numeric))
     ready = pipe.transform(with_missing(train, numeric)).select("features", F.col(y).cast("double").alias("label")).persist()
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=128, stepSize=0.2, seed=7).fit(ready)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=256, stepSize=0.2, seed=7).fit(ready)
     ready.unpersist()
     scored = staged_margins(model, pipe.transform(with_missing(val, numeric)))
     losses = scored.select(F.posexplode(F.transform("margins", lambda m: F.pow(1 / (1 + F.exp(-2 * m)) - F.col(y), F.lit(2)))).alias("k", "loss")).groupBy("k").agg(F.avg("loss").alias("loss"))

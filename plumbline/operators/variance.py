@@ -43,18 +43,20 @@ def holder_gaps(rates: DataFrame, by: list[str], train: str = "train_rate", test
     ).where("n_holders >= 2")
 
 
-def two_way_demeaned(rows: DataFrame, first: str, second: str, value: str, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
+def two_way_demeaned(rows: DataFrame, first: str, second: str, value: str, rounds: int = 1000, tolerance: float = 1e-8) -> DataFrame:
     """``value`` with the means of two groupings taken out in turn until nothing moves; ``residual`` is added.
 
-    Each round is two group sums and joins, written to the checkpoint folder; rows with a null take no part.
+    Still means that no group's mean is off by ``tolerance`` times the values' deviation; if that isn't reached in
+    ``rounds`` it is an error.  Each round is two group sums and joins, written to the checkpoint folder; rows with a null take no part.
     """
     state = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(value).isNotNull()).withColumn("residual", F.col(value).cast("double"))
+    scale = state.agg(F.stddev_pop("residual")).first()[0] or 1.0
     for _ in range(rounds):
         for by in (first, second):
             means = state.groupBy(by).agg(F.avg("residual").alias("__m"))
             state = state.join(means, by).withColumn("residual", F.col("residual") - F.col("__m")).drop("__m")
         state = cut_lineage(state)
         moved = state.groupBy(first).agg(F.abs(F.avg("residual")).alias("m")).agg(F.max("m")).first()[0] or 0.0
-        if moved < tolerance:
-            break
-    return state
+        if moved < tolerance * scale:
+            return state
+    raise RuntimeError(f"means still move after {rounds} rounds")

@@ -219,4 +219,9 @@ SQL = {
     "rating_duplicates": "with p as (select projectid, count(*) as n_rows, count(distinct boardapprovaldate) as d from rated_projects group by 1) select n_rows, count(*) as n_projects, max(d) as most_dates from p group by 1",
     "ocr_noise": _noise_sql(500),
     "ocr_noise_short": _noise_sql(50),
+    "components": """with recursive r as (select 'p:' || projectid as a, concat_ws(':', 'c', ieg_country, cast(ieg_evaluation_fy as varchar), cast(trunc(log_commitment) as int)) as b from rated_projects where projectid is not null and ieg_country is not null and ieg_evaluation_fy is not null),
+      e as (select distinct a, b from r union select b, a from r), reach as (select distinct a as node, a as seen from e union select reach.node, e.b from reach join e on e.a = reach.seen), c as (select node, min(seen) as c from reach group by 1), z as (select c, count(*) as size from c group by 1)
+      select size, count(*) as n_components from z group by 1""",
+    "name_jaccard_members": """with s as (select distinct project_name as id, list_sort(list_distinct(string_split(trim(regexp_replace(lower(project_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '))) as w from panel_duplicates where trim(project_name, ' ') <> '')
+      select id, min(id) over (partition by w) as representative from s""",
 }

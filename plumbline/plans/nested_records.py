@@ -48,4 +48,13 @@ SQL = {
       u as (select 'lot_values' as t, p, y->>'$.relatedLot' as c from lv where json_type(y) = 'OBJECT' union all select 'awards', p, x->>'$.id' from aw where json_type(x) = 'OBJECT' union all select 'changes', p, x->>'$.id' from ch where json_type(x) = 'OBJECT'
         union all select 'rationale_types', p, trim(y->>'$') from rt where json_type(y) <> 'NULL')
       select distinct t as child_table, p as parent_id, c as child_id from u where trim(p) <> '' and trim(c) <> ''""",
+    "p2_tables": f"""with {_DOCS}, o as (select coalesce(object_id, j->>'$.id') as object_id, j->>'$.id' as rid, j from d),
+      bids as (select object_id, x from (select object_id, unnest({_kids("(j->'$.bids')", 'id')}) as x from o) where json_type(x) = 'OBJECT'), ch0 as (select object_id, rid as p, list_filter({_kids("(j->'$.changes')", 'id')}, lambda v: json_type(v) = 'OBJECT') as l from o),
+      lv as (select object_id, x->>'$.id' as p, list_filter({_kids("(x->'$.lotValues')", 'relatedLot')}, lambda v: json_type(v) = 'OBJECT') as l from bids), aw as (select object_id, rid as p, list_filter({_kids("(j->'$.awards')", 'id')}, lambda v: json_type(v) = 'OBJECT') as l from o),
+      ch as (select object_id, unnest(l) as x from ch0), rt as (select object_id, x->>'$.id' as p, {_kids("(x->'$.rationaleTypes')", None)} as l from ch),
+      u as (select 'lot_values' as t, object_id, p, unnest(l) as y, generate_subscripts(l, 1) - 1 as k, 'relatedLot' as key from lv union all select 'awards', object_id, p, unnest(l), generate_subscripts(l, 1) - 1, 'id' from aw
+        union all select 'changes', object_id, p, unnest(l), generate_subscripts(l, 1) - 1, 'id' from ch0 union all select 'rationale_types', object_id, p, unnest(l), generate_subscripts(l, 1) - 1, null from rt),
+      w as (select t, object_id, p, case when key is null then trim(y->>'$') else y->>('$.' || key) end as c, k, y, key is not null as obj from u)
+      select t as child_table, object_id, p as parent_id, c as child_id, cast(k as int) as ordinal, case when obj then y->>'$.status' end as status, case when obj then coalesce(y->>'$.date', y->>'$.dateSigned') end as dated, case when obj then try_cast(y->>'$.value.amount' as double) end as amount
+      from w where trim(p) <> '' and trim(c) <> ''""",
 }

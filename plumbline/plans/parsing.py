@@ -11,6 +11,7 @@ from ..operators import windows as W
 from ..operators.documents import latest_rating
 from ..operators.drift import field_of, header_stem
 from ..session import table
+from .drift import _FIELD, _STEM
 
 
 def _t(spark, sf_dir, name):
@@ -223,4 +224,9 @@ SQL = {
       select label, count(*) as n, round(corr(a, b), 6) as corr from w group by 1""",
     "word_overlap": """with r as (select string_split(trim(regexp_replace(lower(project_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') as a, string_split(trim(regexp_replace(lower(department), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') as b from panel_duplicates where project_name is not null and department is not null)
       select cast(len(list_intersect(a, b)) as int) as n_shared, count(*) as n from r group by 1""",
+    "feed_instants": f"select doc_kind, cast(year(timezone('Europe/Kyiv', try_cast(date_modified as timestamptz))) as int) as year, count(*) as n, count(distinct object_id) as n_objects from tender_records group by 1, 2",
+    "sampled_days": """with d as (select cast(unnest(generate_series(date '2024-01-01', date '2024-12-31', interval 10 day)) as date) as day)
+      select day, round((epoch(timezone('Europe/Kyiv', cast(day as timestamp) + interval 1 day)) - epoch(timezone('Europe/Kyiv', cast(day as timestamp)))) / 3600, 3) as hours from d""",
+    "header_fields": f"""with k as (select unnest(json_keys(try_cast(record as json))) as key, try_cast(record as json) as j from publication_rows where json_type(try_cast(record as json)) = 'OBJECT'), e as (select key, json_type(j, '$."' || replace(key, '"', '\\"') || '"') as kind from k),
+      s as (select key, {_STEM} as stem from e where kind <> 'NULL'), f as (select key, {_FIELD} as field from s) select field, count(*) as n, count(distinct key) as n_headers from f group by 1""",
 }
