@@ -147,7 +147,7 @@ def test_states_of_bids_and_the_last_active_award(spark):
         "awards": [{"id": "x", "status": "active", "bid_id": "b1", "lotID": "l"}, {"id": "y", "status": "active", "bid_id": "b2", "lotID": "l"}, {"id": "z", "status": "unsuccessful", "bid_id": "b6", "lotID": "l"}],
         "contracts": [{"id": "k", "awardID": "y", "value": {"amount": 2, "amountNet": 2}, "period": {"endDate": "2020-01-01T00:00:00Z"}}, {"id": "j", "awardID": "y", "status": "cancelled", "dateSigned": "2021-01-01"}],
     }
-    registry = {"id": "k", "status": "terminated", "value": {"amount": 3, "amountNet": 3}, "amountPaid": {"amount": 1}, "period": {"endDate": "2020-05-01T00:00:00Z"}, "changes": [{"date": "2020-02-01T00:00:00Z", "status": "active", "rationaleTypes": ["durationExtension"]}, {"rationaleTypes": "taxRate"}]}
+    registry = {"id": "k", "status": "terminated", "value": {"amount": 3, "amountNet": 3}, "amountPaid": {"amount": 1}, "period": {"endDate": "2020-05-01T00:00:00Z"}, "changes": [{"date": "2020-02-01T00:00:00Z", "status": "active", "rationaleTypes": ["durationExtension"]}, {"rationaleTypes": [" taxRate", "taxRate "]}]}
     rows = tender_frame(spark, doc, registry)
     bids = {r["bid_id"]: r for r in tenders.bids_by_lot(rows).collect()}
     assert {b: r["rank_in_lot"] for b, r in bids.items()} == {"b1": 1, "b2": 2, "b3": None, "b4": None, "b5": None, "b6": 3}
