@@ -475,7 +475,7 @@ def induced_lexicon(parsed: DataFrame) -> DataFrame:
     known = counts
     for _ in range(2):
         leaning = known.select("word", _leanings(F.col("a"), F.col("b"), n_pos, n_neg).alias("v"))
-        weighed = abusive.join(leaning, "word").groupBy("doc_id", "fold", "no").agg(*[F.sum(F.get("v", k)).alias(f"v{k}") for k in range(FOLDS + 1)])
+        weighed = abusive.join(leaning, "word").groupBy("doc_id", "fold", "no").agg(*[F.round(F.sum(F.get("v", k)), 6).alias(f"v{k}") for k in range(FOLDS + 1)])
         heaviest = weighed.groupBy("doc_id", "fold").agg(
             *[F.max(F.when(F.col(f"v{k}") >= 2.0, F.struct(F.col(f"v{k}").alias("v"), (-F.col("no")).alias("no")))).alias(f"m{k}") for k in range(FOLDS + 1)]
         )
