@@ -114,7 +114,7 @@ def conditional_icc(spark, sf_dir, draws=100):
     """ICC of balances by segment against shuffles of segments within nations: what nations can't account for."""
     rows = _customers(spark, sf_dir)
     observed = V.intraclass(V.group_moments(rows.withColumn("draw", F.lit(-1)), ["draw"], "segment", "x", 3)).select(F.col("icc").alias("observed"), F.col("n").alias("lots"), F.col("k").alias("groups"), F.lit(1).alias("one"))
-    drawn = B.permute_within(rows.select("block", "id", "segment"), ["block"], "id", "segment", draws).join(rows.select("id", "x"), "id")
+    drawn = B.permute_within(rows, ["block"], "id", "segment", draws, give=["x"])
     null = V.intraclass(V.group_moments(drawn, ["draw"], "shuffled", "x", 3)).select("icc", F.lit(1).alias("one"))
     both = null.join(F.broadcast(observed), "one")
     return both.groupBy("lots", "groups", F.round("observed", 6).alias("icc")).agg(

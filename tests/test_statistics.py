@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from itertools import combinations, product
@@ -120,6 +121,45 @@ def test_permutations_stay_in_their_block_and_repeat(spark):
     assert sample.count() == 10 and {r["block"]: r["count"] for r in sample.groupBy("block").count().collect()} == {0: 4, 1: 3, 2: 3}
 
 
+def shuffled_rows(plan):
+    """Rows that a finished plan wrote to shuffles."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    written = plan.metrics().get("shuffleRecordsWritten")
+    own = written.get().value() if name == "ShuffleExchangeExec" and written.isDefined() else 0
+    children = plan.children()
+    return own + sum(shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_permutations_send_blocks_and_not_draws(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(300)], "id int, block int, v double")
+    drawn = resample.permute_within(df, ["block"], "id", "v", 100)
+    assert len(drawn.collect()) == 30_000 and shuffled_rows(drawn._jdf.queryExecution().executedPlan()) < 30_000
+
+
+def test_permutations_are_in_the_order_of_md5_whatever_the_block(spark):
+    sizes = {(1.0, "a"): 40, (1.0, "b"): 1, (2.0, "a"): 7, (float("nan"), "a"): 5, (None, "a"): 3, (3.0, None): 2}
+    idents = ["", "ö", "x" * 40, "y" * 41, "z" * 70, None] + [str(3**i) for i in range(60)]
+    data, at = [], 0
+    for (p, q), n in sizes.items():
+        for _ in range(n):
+            data.append((p, q, idents[at], None if at == 9 else f"v{at}", at))
+            at += 1
+    df = spark.createDataFrame(data, "p double, q string, id string, v string, n int")
+    want = set()
+    for draw in range(45):
+        for block in {(str(p), q) for p, q in sizes if p is not None and q is not None}:
+            held = [r for r in data if (str(r[0]), r[1]) == block and r[2] is not None]
+            order = lambda seed: sorted(held, key=lambda r: hashlib.md5(f"{r[2]}#{seed}".encode()).hexdigest())  # noqa: B023, E731
+            want |= {(draw, own[4], dealt[3]) for own, dealt in zip(order(-1), order(draw))}
+    for most in (0, 6, 1000):
+        got = [tuple(r) for r in resample.permute_within(df, ["p", "q"], "id", "v", 45, give=["n"], block_rows=most).collect()]
+        assert set(got) == want and len(got) == len(want) == 45 * 52
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 301), (301, 300), (None, 5), (7, None)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
