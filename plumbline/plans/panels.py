@@ -170,7 +170,7 @@ def permutation_null(spark, sf_dir):
     totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("t"))
     rows = _customers(spark, sf_dir).join(totals, "id")
     real = rows.agg(correlation("x", "t").alias("real"))
-    drawn = B.permute_within(rows.select("block", "id", "x"), ["block"], "id", "x", 200).join(totals, "id").groupBy("draw").agg(correlation("shuffled", "t").alias("c"))
+    drawn = B.permute_within(rows, ["block"], "id", "x", 200, give=["t"]).groupBy("draw").agg(correlation("shuffled", "t").alias("c"))
     value = real.first()[0]
     out = drawn.agg(F.count("*").alias("draws"), F.avg("c").alias("null_mean"), F.count_if(F.abs(F.round("c", 9)) >= F.lit(abs(round(value or 0.0, 9)))).alias("b"))
     return out.select(F.lit(round(value or 0.0, 6)).alias("real"), "draws", F.round("null_mean", 6).alias("null_mean"), F.round((F.col("b") + 1) / (F.col("draws") + 1), 6).alias("p_value"))
@@ -194,7 +194,7 @@ def stratified_sample(spark, sf_dir):
 def icc_null(spark, sf_dir):
     """ICC of balances by market segment against shuffles within nations."""
     rows = _customers(spark, sf_dir)
-    drawn = B.permute_within(rows.select("block", "id", "segment"), ["block"], "id", "segment", 10).join(rows.select("id", "x"), "id")
+    drawn = B.permute_within(rows, ["block"], "id", "segment", 10, give=["x"])
     return _rounded(V.intraclass(V.group_moments(drawn, ["draw"], "shuffled", "x", 3)).select("draw", "k", "n", "icc"), "icc", digits=5)
 
 
