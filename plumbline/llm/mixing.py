@@ -10,6 +10,8 @@ documents that fit in.
 
 from __future__ import annotations
 
+import warnings
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -22,39 +24,39 @@ from .tokens import RANKS_PATH, count_tokens
 
 #: Hash ranges of a group in which running totals are taken one by one.
 RANGES = 4096
-#: Sets of sources up to which texts held by several sources are kept together; beyond it every source counts its
-#: own documents by themselves, which fills the same quotas and spreads repetition within each source only.
+#: Sets of sources above which a warning tells how many the driver solves; they are solved alike whatever their number.
 MOST_GROUPS = 20_000
 
 
 class Flow:
-    """Greatest flow by levels and blocking flows (Dinic); edges may be widened and the flow sent on."""
+    """Greatest flow by levels and blocking flows (Dinic) between numbered nodes; edges may be widened and the flow sent on."""
 
-    def __init__(self):
-        self.ends, self.room, self.out = [], [], {}
+    def __init__(self, nodes: int):
+        self.ends, self.room, self.out = array("q"), array("q"), [array("q") for _ in range(nodes)]
 
-    def edge(self, a, b, room) -> int:
+    def edge(self, a: int, b: int, room: int) -> int:
         for x, y, r in ((a, b, room), (b, a, 0)):
-            self.out.setdefault(x, []).append(len(self.ends))
+            self.out[x].append(len(self.ends))
             self.ends.append(y)
             self.room.append(r)
         return len(self.ends) - 2
 
-    def _levels(self, source, sink):
-        level, queue = {source: 0}, deque([source])
+    def _levels(self, source: int, sink: int):
+        level, queue = array("q", [-1]) * len(self.out), deque([source])
+        level[source] = 0
         while queue:
             x = queue.popleft()
-            for e in self.out.get(x, ()):
-                if self.room[e] > 0 and self.ends[e] not in level:
+            for e in self.out[x]:
+                if self.room[e] > 0 and level[self.ends[e]] < 0:
                     level[self.ends[e]] = level[x] + 1
                     queue.append(self.ends[e])
-        return level if sink in level else None
+        return level if level[sink] >= 0 else None
 
-    def send(self, source, sink) -> int:
+    def send(self, source: int, sink: int) -> int:
         """Send as much more as possible; the amount."""
         sent = 0
         while (level := self._levels(source, sink)) is not None:
-            left = {x: 0 for x in self.out}
+            left = array("q", [0]) * len(self.out)
             path: list[int] = []
             x = source
             while True:
@@ -69,7 +71,7 @@ class Flow:
                 edges = self.out[x]
                 while left[x] < len(edges):
                     e = edges[left[x]]
-                    if self.room[e] > 0 and level.get(self.ends[e]) == level[x] + 1:
+                    if self.room[e] > 0 and level[self.ends[e]] == level[x] + 1:
                         break
                     left[x] += 1
                 else:
@@ -115,25 +117,27 @@ def solve(groups: dict[tuple[str, ...], int], targets: dict[str, tuple[float, in
                     size -= 1
                 bounds.append(size)
         total = min(bounds, default=0)
-    flow, arcs, entries = Flow(), {}, {}
+    start, end = 0, 1
+    nodes = {source: 2 + i for i, source in enumerate(targets)}
+    flow, arcs, entries = Flow(2 + len(targets) + len(groups)), {}, {}
     for source, (share, _) in targets.items():
-        flow.edge(("source", source), "end", int(share * total))
+        flow.edge(nodes[source], end, int(share * total))
     uses = {}
-    for group, tokens in groups.items():
+    for node, (group, tokens) in enumerate(groups.items(), 2 + len(targets)):
         members = [s for s in dict.fromkeys(group) if s in targets]
         if not members or not tokens:
             continue
-        entries[group] = flow.edge("start", ("group", group), 0)
+        entries[group] = flow.edge(start, node, 0)
         uses[group] = sum(targets[s][1] for s in members)
         for s in members:
-            arcs[group, s] = flow.edge(("group", group), ("source", s), tokens * targets[s][1])
+            arcs[group, s] = flow.edge(node, nodes[s], tokens * targets[s][1])
     for use in range(max(uses.values(), default=0)):
         for several in (False, True):
             opened = [g for g in entries if uses[g] > use and (len(g) > 1) == several]
             for group in opened:
                 flow.room[entries[group]] += groups[group]
             if opened:
-                flow.send("start", "end")
+                flow.send(start, end)
     return total, {k: flow.room[e ^ 1] for k, e in arcs.items() if flow.room[e ^ 1] > 0}
 
 
@@ -176,11 +180,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         .withColumn("__range", F.pmod(F.shiftright("__h", 20), F.lit(RANGES)).cast("int"))
     )
     ranges = texts.groupBy("grp", "__range").agg(F.sum("n_tokens").alias("tokens"))
-    sizes = ranges.groupBy("grp").agg(F.sum("tokens").alias("tokens")).limit(MOST_GROUPS + 1).collect()
+    sizes = ranges.groupBy("grp").agg(F.sum("tokens").alias("tokens")).collect()
     if len(sizes) > MOST_GROUPS:
-        texts, ranges = _apart(texts, seed)
-        sizes = ranges.groupBy("grp").agg(F.sum("tokens").alias("tokens")).collect()
-    groups = {tuple(r["grp"].split("\u0001")): int(r["tokens"]) for r in sizes}
+        warnings.warn(f"{len(sizes)} sets of sources are solved on the driver", stacklevel=2)
+    # in order, so that the flow does not depend on how the sets arrive
+    groups = {tuple(grp.split("\u0001")): int(tokens) for grp, tokens in sorted(map(tuple, sizes))}
     total, flows = solve(groups, wanted, total_tokens)
 
     arcs = []
@@ -217,14 +221,6 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return rows.where("n_uses > 0").select("doc_id", "source", "n_uses", "n_tokens"), total
 
 
-def _apart(texts: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Every document by itself in a group of its source, and the tokens of the groups' ranges."""
-    alone = texts.select("text_key", "n_tokens", F.explode("held").alias("h")).select("text_key", "n_tokens", F.array("h").alias("held"), F.col("h.source").alias("grp"))
-    alone = alone.withColumn("again", F.lit(False)).withColumn("__h", F.xxhash64("text_key", F.lit(seed), F.col("held")[0]["doc_id"]))
-    alone = cut_lineage(alone.withColumn("__range", F.pmod(F.shiftright("__h", 20), F.lit(RANGES)).cast("int")))
-    return alone, alone.groupBy("grp", "__range").agg(F.sum("n_tokens").alias("tokens"))
-
-
 def lengths_to_fill(counts: dict[str, dict[int, int]], gaps: dict[str, int]) -> dict[tuple[str, int], int]:
     """How many documents of which length fill what is open of each source: the longest that fit in, as many as there
     are, then shorter ones, and at last the shortest one left if it comes nearer although it passes the quota."""

@@ -79,6 +79,17 @@ def test_many_sets_of_sources_are_taken_apart(spark, monkeypatch):
     assert set(apart) == set(together) and all(abs(apart[s] - together[s]) <= 3 for s in apart) and all(apart.values())
 
 
+def test_the_number_of_sets_of_sources_changes_nothing(spark, monkeypatch):
+    rows = [(10 * i + k, f"text {i}", f"s{k}", "x") for i in range(40) for k in range(4) if (i >> k) & 1]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([(f"s{k}", 0.25, 2) for k in range(4)], TARGETS)
+    below = sorted(map(tuple, mix(docs, targets, total_tokens=60)[0].collect()))
+    monkeypatch.setattr(mixing_module, "MOST_GROUPS", 3)
+    with pytest.warns(UserWarning, match="sets of sources"):
+        above = sorted(map(tuple, mix(docs.repartition(7), targets, total_tokens=60)[0].collect()))
+    assert below and above == below
+
+
 def test_cheapest_flow_matches_brute_force():
     """Least cost over all ways to meet the quotas, where the k-th use of a group costs 2 k, and 1 more for several sources."""
     groups, targets = {("a",): 2, ("b",): 1, ("a", "b"): 2}, {"a": (0.5, 2), "b": (0.5, 2)}
