@@ -210,6 +210,19 @@ def branch_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("field_name", "type").agg(F.count("*").alias("n"))
 
 
+def table_branches(table: DataFrame) -> DataFrame:
+    """(field_name, type, n): the cells of a unified table's typed branches and of ``more``."""
+    filled = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(c.rsplit("__", 1)[0]).alias("field_name"), F.lit(c.rsplit("__", 1)[1]).alias("type")))
+        for c in table.columns if "__" in c
+    ]
+    others = F.transform("more", lambda x: F.struct(x["field_name"].alias("field_name"), x["type"].alias("type")))
+    cells = table.select(F.explode(others).alias("x"))
+    if filled:
+        cells = cells.unionByName(table.select(F.explode(F.array_compact(F.array(*filled))).alias("x")))
+    return branch_counts(cells.select("x.*"))
+
+
 def _of_field(name: str):
     return lambda x: x["field_name"] == name
 
@@ -244,7 +257,7 @@ def unified_table(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     own = cells.groupBy("publication_slug", "row_no").agg(F.sort_array(F.collect_list(F.struct("header", "field_name", "type", "body"))).alias("held"))
     table = same_keys(newest.select("publication_slug", "row_no"), own, ["publication_slug", "row_no"], "left")
     repeated = F.filter("held", lambda x, i: F.exists(F.slice("held", F.lit(1), i), lambda y: y["field_name"] == x["field_name"]))
-    table = table.withColumn("more", F.transform(repeated, lambda x: F.named_struct(F.lit("header"), x["header"], F.lit("field_name"), x["field_name"], F.lit("body"), x["body"])))
+    table = table.withColumn("more", F.transform(repeated, lambda x: F.named_struct(F.lit("header"), x["header"], F.lit("field_name"), x["field_name"], F.lit("type"), x["type"], F.lit("body"), x["body"])))
     # each field's counted cell by itself, so that every conversion is there once and not once per field
     firsts = F.filter("held", lambda x, i: ~F.exists(F.slice("held", F.lit(1), i), lambda y: y["field_name"] == x["field_name"]))
     counted = table.select("publication_slug", "row_no", F.inline(firsts)).withColumn("v", F.try_parse_json("body"))

@@ -14,8 +14,13 @@ def p6_found(spark, sf_dir):
     return schema_changes(*_tables(spark, sf_dir))
 
 
+def p6_rows(spark, sf_dir):
+    """The one table itself: every row of every file with all canonical columns, typed branches and ``more``."""
+    return unified_table(*_tables(spark, sf_dir))
+
+
 def p6_table(spark, sf_dir):
-    """The one table, as filled cells and sums per canonical column."""
+    """Filled cells and sums per canonical column of the one table, which ``p6_rows`` gives whole; ``p6_branches`` counts the cells of its other columns."""
     rows = unified_table(*_tables(spark, sf_dir))
     cells = [c for c in rows.columns if c not in ("publication_slug", "row_no", "more") and "__" not in c]
     stacked = rows.select(
@@ -39,7 +44,7 @@ def p6_alternatives(spark, sf_dir):
     return alternatives(*_tables(spark, sf_dir))
 
 
-QUERIES = {"p6_found": p6_found, "p6_table": p6_table, "p6_branches": p6_branches, "p6_alternatives": p6_alternatives}
+QUERIES = {"p6_found": p6_found, "p6_rows": p6_rows, "p6_table": p6_table, "p6_branches": p6_branches, "p6_alternatives": p6_alternatives}
 
 #: The rules by which the SQL tells a header's field, in order; written out, so that a change of the operator's shows.
 _RULES = {

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from plumbline.operators.drift import alternatives, path_unions, schema_changes, unified_table
+from plumbline.operators.drift import alternatives, path_unions, schema_changes, table_branches, unified_table
 from plumbline.operators.snapshots import project_changes, project_snapshots, snapshot_changes
+from plumbline.plans import drift as drift_queries
 
 D = [dt.date(2019 + i, 3, 31) for i in range(4)]
 
@@ -125,3 +126,22 @@ def test_branches_units_and_repeated_headers(spark):
     assert rows[2]["wlc_baseline_gbp_m"] is None
     other = {"a-13": [{"WLC approved (£k)": 2500}]}
     assert unified_table(publications(spark, other), calendar(spark, [])).first()["wlc_baseline_gbp_m_value"] == 2.5
+
+
+def test_the_one_table_holds_every_cell(spark):
+    files = {
+        "a-13": [{"WLC approved (£k)": 2500, "Lifetime cost": "£3bn", "Aims": ["x", {"k": 1}]}, {"WLC approved (£k)": {"amount": 1}, "Aims": True}, {}],
+        "a-14": [{"Lifetime cost": 7, "Aims": "y", "Not a field": 1}],
+    }
+    table = unified_table(publications(spark, files), calendar(spark, []))
+    got = {(r["field_name"], r["type"]): r["n"] for r in table_branches(table).collect()}
+    w, d = "wlc_baseline_gbp_m", "description"
+    assert got == {(w, "number"): 2, (w, "string"): 1, (w, "object"): 1, (d, "array"): 1, (d, "boolean"): 1, (d, "string"): 1}
+    assert table_branches(unified_table(publications(spark, {"a-13": [{}]}), calendar(spark, []))).count() == 0
+
+
+def test_the_one_table_itself_is_a_query(spark, tmp_path):
+    publications(spark, {"a-13": [{"WLC approved (£k)": 2500, "Lifetime cost": "£3bn"}, {}]}).write.parquet(str(tmp_path / "publication_rows.parquet"))
+    calendar(spark, []).write.parquet(str(tmp_path / "table_calendar_validation.parquet"))
+    rows = {r["row_no"]: r for r in drift_queries.QUERIES["p6_rows"](spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 and rows[0]["wlc_baseline_gbp_m__string"] == "£3bn" and [m["type"] for m in rows[0]["more"]] == ["number"]
